@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: At most so many keys are treated as hot; with a sketch of TRACKED entries every key above 1/TRACKED*4/3 of the rows is seen.
 MAX_HOT, TRACKED = 256, 4096
@@ -41,3 +42,34 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
         b = right.withColumn("_salt", F.explode(F.when(is_hot(r, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
         return a.join(b.withColumnRenamed(right_key, "_right"), (k == F.col("_right")) & (a["_salt"] == b["_salt"]), how).drop("_salt", "_right")
     return left.join(right.withColumnRenamed(right_key, "_right"), k == F.col("_right"), how).drop("_right")
+
+
+def order_slices(df: DataFrame, group: str, order: str, hot: list, n: int = 256) -> Column:
+    """0 for rows of ordinary groups; for hot ones the number of the slice, of n even ones, in which the numeric `order` lies."""
+    if not hot:
+        return F.lit(0).cast("long")
+    ends = df.where(is_hot(F.col(group), hot)).agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    width = max(1, (ends["b"] - ends["a"]) // n + 1) if ends["a"] is not None else 1
+    return F.when(is_hot(F.col(group), hot), F.floor((F.col(order) - F.lit(ends["a"])) / F.lit(width))).otherwise(F.lit(0)).cast("long")
+
+
+def running(df: DataFrame, group: str, order: str, value: Column, how: str, name: str, current: bool = False) -> DataFrame:
+    """Adds `name`: the max, sum or last non-null of `value` over the group's earlier rows by `order` (numeric, unique in a group),
+    with the row itself if `current`; null where there is none.
+
+    Hot groups run in slices of `order`; what earlier slices add comes from a summary with one row for each slice.
+    """
+    hot = hot_keys(df, group)
+    flat = df.withColumn("_v", value).withColumn("_part", order_slices(df, group, order, hot))
+    w = W.partitionBy(group, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if current else -1)
+    fold = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    if not hot:
+        return flat.withColumn(name, fold("_v").over(w)).drop("_v", "_part")
+    total = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))) if how == "last" else fold("_v")
+    parts = flat.where(is_hot(F.col(group), hot)).groupBy(group, "_part").agg(total.alias("_t"))
+    above = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), fold("_t").over(above).alias("_before"))
+    both = flat.withColumn("_near", fold("_v").over(w)).join(parts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")), "left")
+    near, before = F.col("_near"), F.col("_before")
+    made = {"max": F.greatest(near, before), "last": F.coalesce(near, before), "sum": F.coalesce(near + before, near, before)}[how]
+    return both.withColumn(name, made).drop("_v", "_part", "_near", "_g", "_p", "_before")
