@@ -11,6 +11,9 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trialforge.functions.lineage import materialize
 
 
 def merged(base: object, patch: object) -> object:
@@ -32,13 +35,13 @@ def _dump(x: object) -> str:
     return json.dumps(x, sort_keys=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def deep_merge(base: pd.Series, patch: pd.Series) -> pd.Series:
     """The merge of two JSON objects with sorted keys; what is no object counts as an empty one."""
     return pd.Series([_dump(merged(_object(a), _object(b))) for a, b in zip(base, patch)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def deep_merge_all(layers: pd.Series) -> pd.Series:
     """The merge of a list of JSON objects in their order."""
     out = []
@@ -50,7 +53,7 @@ def deep_merge_all(layers: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nested_patch(path: pd.Series, value: pd.Series) -> pd.Series:
     """{a: {b: value}} for the path a.b; the value is JSON."""
     out = []
@@ -62,7 +65,7 @@ def nested_patch(path: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def signature(family: pd.Series, operator: pd.Series, patch: pd.Series, parents: pd.Series) -> pd.Series:
     """The first twelve hex digits of the SHA-1 of the candidate's canonical JSON: sorted keys and parents, ASCII escapes."""
     rows = zip(family, operator, patch, parents)
@@ -94,7 +97,7 @@ def resolved(candidates: DataFrame, baseline: str, most_levels: int = 64) -> Dat
         parts = links.join(rest.select("candidate_id"), "candidate_id", "left_semi").join(known, "parent", "left")
         ready = parts.groupBy("candidate_id").agg(F.every(F.col("config").isNotNull()).alias("ok"), F.array_sort(F.collect_list(F.struct("pos", "config", "parent_patch"))).alias("l")).where("ok")
         layers = F.concat(F.array(base), F.flatten(F.transform("l", lambda x: F.array(x["config"], x["parent_patch"]))), F.array("config_patch"))
-        new = rest.join(ready, "candidate_id").select("candidate_id", deep_merge_all(layers).alias("config"), "config_patch").checkpoint()
+        new, _ = materialize(rest.join(ready, "candidate_id").select("candidate_id", deep_merge_all(layers).alias("config"), "config_patch"), "level")
         if new.isEmpty():
             break
         out = out.unionByName(new)

@@ -58,9 +58,9 @@ def champion_fold(rows: DataFrame, group: str, order: str, mean: str, eligible:
                 taken.append(won)
             yield batch[taken]
 
-    won = small.mapInPandas(fold, small.schema).withColumnsRenamed({"g": "_g", "o": "_o", "m": "_m"})
-    both = flat.join(won, F.col(group).eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_o")), "left")
-    return running(both, group, order, F.col("_m"), "max", "champion_before").drop("_e", "_g", "_o", "_m")
+    won = small.mapInPandas(fold, small.schema).withColumnsRenamed({"g": "_wg", "o": "_wo", "m": "_wm"})
+    both = flat.join(won, F.col(group).eqNullSafe(F.col("_wg")) & (F.col(order) == F.col("_wo")), "left").drop("_wg", "_wo")
+    return running(both, group, order, F.col("_wm"), "max", "champion_before").drop("_e", "_wm")
 
 
 def plateau_counter(rows: DataFrame, group: str, order: str, promoted: Column, rejected: Column) -> DataFrame:

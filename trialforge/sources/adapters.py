@@ -11,7 +11,7 @@ VIEWS = {
     "runs": (
         ("events",),
         """SELECT user_id * 100 + CAST(day(ts) AS BIGINT) AS candidate_id, user_id % 5 AS family, event_id AS seq,
-           row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS attempt,
+           CAST(row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS BIGINT) AS attempt,
            event_type <> 'error' AS valid, value AS search_eval, value AS selection_eval, props, event_type
            FROM {events}""",
     ),
@@ -53,8 +53,8 @@ VIEWS = {
         ("orders",),
         """SELECT o_orderpriority AS branch, count(*) AS n_experiments,
            sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS n_improvements,
-           CAST(max((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1) - min(o_custkey % 17) AS BIGINT) AS last_explored_cycle,
-           round(avg(o_totalprice) / 300000.0, 3) AS current_ev, min(o_custkey) % 4 AS budget,
+           CAST(84 - count(*) % 14 AS BIGINT) AS last_explored_cycle,
+           round(avg(o_totalprice) / 300000.0, 3) AS current_ev, 1 + count(*) % 3 AS budget,
            CASE WHEN o_orderpriority LIKE '4%' THEN 'exhausted' ELSE 'active' END AS status
            FROM {orders} GROUP BY o_orderpriority""",
     ),
