@@ -14,14 +14,23 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from enum import Enum
 from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Steps of a pattern that match any member of an object, or any entry of a list, and capture its key or position.
-KEY, ENTRY = object(), object()
+
+class Step(Enum):
+    """Steps of a pattern that match any member of an object, or any entry of a list, and capture its key or position. An
+    enumeration, as its members are still themselves in another process."""
+
+    KEY = "key"
+    ENTRY = "entry"
+
+
+KEY, ENTRY = Step.KEY, Step.ENTRY
 
 BRIDGE = "parent string, rule string, captures array<string>, ordinal bigint, place string, node string, kind string, value string, children bigint"
 
