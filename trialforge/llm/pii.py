@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialforge.functions.partitions import spread
+
 THRESHOLD = 0.5
 KINDS = ("address", "email", "id_number", "phone", "name")
 
@@ -39,6 +41,7 @@ _STREET_FR = "rue avenue quai allée allee place impasse boulevard chemin cours
 _STREET_ES = "calle plaza avenida avda paseo camino carretera ronda travesía via vía callejón".split()
 _FLAT = "flat|apt|apartment|unit|suite|room|floor"
 _POSTCODE = r"(?:[A-Z]{2}[ ]\d{5}(?:-\d{4})?|\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]?[ ]?\d[A-Z]{2})"
+_ANY_POSTCODE = _re(r"(?<![\p{Latin}\d_])(?:\d{5}(?:-\d{4})?|[A-Za-z]{1,2}\d[A-Za-z\d]?[ ]?\d[A-Za-z]{2})(?![\p{Latin}\d_-])")
 _GAP = r"(?:,?[ ]*\r?\n[ ]*|,[ ]*|[ ]+)"
 _WORD = r"[\p{Latin}\p{M}][\p{Latin}\p{M}'-]*"
 _TOWN = rf"\p{{Lu}}[\p{{Latin}}\p{{M}}'-]+(?:[ ]\p{{Lu}}[\p{{Latin}}\p{{M}}'-]+){{0,2}}"
@@ -65,7 +68,8 @@ _EMAIL = [
     _re(rf"(?<![\p{{Latin}}\d_.+-]){_LOCAL}[ ]at[ ]{_LABEL}(?:(?:{_MARK_DOT}|{_WORD_DOT}){_LABEL})*?{_WORD_DOT}{_TOP}(?:{_WORD_DOT}{_TOP})*(?![\p{{Latin}}\d_]|-[\p{{Latin}}\d])", regex.I),
 ]
 
-_AT = _re(r"@|[\(\[\{][ ]?at[ ]?[\)\]\}]", regex.I)
+_AT = _re(r"(?:@|[\(\[\{][ ]?(?i:at)[ ]?[\)\]\}])(?=[ ]?[\p{Latin}\p{M}\d-]+(?:\.|[ ]?[\(\[\{][ ]?(?i:dot|p)|[ ](?i:dot|p)))")
+_IN_LOCAL = _re(r"[\p{Latin}\p{M}\d_%+'.-]")
 _DOT = _re(_WORD_DOT, regex.I)
 
 # --- numbers ---------------------------------------------------------------------------------------------------------
@@ -85,14 +89,14 @@ _ID = [
 ]
 _ID_CUE = _re(r"(?:ssn|security|passport|pass(?:e?port)?nummer|\bid\b|identit|ausweis|documento|card|annotator_id|\bdni\b|\bnie\b|typed|badge|证件|身份证|护照|番号|tax|licen[cs]e|lists)[^\n]{0,40}$", regex.I)
 _NOT_CUE = _re(r"(?:tokens?|param|params|count|range|items?|seeds?|run|step|steps|job|lr|attempt|batch|sizes|checkpoints?|loss|score|version|build|commit|hash|offset|bytes|shape)[ :=#]*(?:\w+[ ])?$", regex.I)
-_EXT = r"(?:[ ]?(?:ext\.?|x|extension|durchwahl|poste)[ ]?\d{1,5})?"
+_EXT = r"(?:[ ]?(?:[Ee]xt\.?|EXT\.?|[xX]|[Ee]xtension|[Dd]urchwahl|[Pp]oste)[ ]?\d{1,5})?"
 _PB, _PE = rf"(?<![{_N}.+/-])", rf"(?![{_N}]|[.\-/]\d)"
 _PHONE = [
-    (0.5, _re(rf"{_PB}(?<!\d[ ])0\d(?:[ .]\d{{2}}){{4}}{_EXT}{_PE}", regex.I)),
-    (0.8, _re(rf"{_PB}(?:\+|00[ ]?)[1-9]\d{{0,2}}[ .-]?(?:\(0?\d{{0,4}}\)[ .-]?)?\d{{1,5}}(?:[ ./-]?\d{{2,5}}){{1,5}}{_EXT}{_PE}", regex.I)),
-    (0.6, _re(rf"{_PB}(?:\+?1[ .-])?(?:\(\d{{3}}\)[ ]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}{_EXT}{_PE}", regex.I)),
-    (0.5, _re(rf"{_PB}(?:\(0\d{{1,4}}\)[ ]?\d{{3,5}}[ -]?\d{{3,5}}|0\d{{1,4}}[ /-]\d{{3,5}}[ -]\d{{3,5}}|0\d{{1,4}}[ /-]\d{{6,9}}){_EXT}{_PE}", regex.I)),
-    (0.2, _re(rf"{_PB}(?:\d{{3}}-\d{{4}}|[1-9]\d{{9}}){_EXT}{_PE}", regex.I)),
+    (0.5, _re(rf"{_PB}(?<!\d[ ])0\d(?:[ .]\d{{2}}){{4}}{_EXT}{_PE}")),
+    (0.8, _re(rf"{_PB}(?:\+|00[ ]?)[1-9]\d{{0,2}}[ .-]?(?:\(0?\d{{0,4}}\)[ .-]?)?\d{{1,5}}(?:[ ./-]?\d{{2,5}}){{1,5}}{_EXT}{_PE}")),
+    (0.6, _re(rf"{_PB}(?:\+?1[ .-])?(?:\(\d{{3}}\)[ ]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}{_EXT}{_PE}")),
+    (0.5, _re(rf"{_PB}(?:\(0\d{{1,4}}\)[ ]?\d{{3,5}}[ -]?\d{{3,5}}|0\d{{1,4}}[ /-]\d{{3,5}}[ -]\d{{3,5}}|0\d{{1,4}}[ /-]\d{{6,9}}){_EXT}{_PE}")),
+    (0.2, _re(rf"{_PB}(?:\d{{3}}-\d{{4}}|[1-9]\d{{9}}){_EXT}{_PE}")),
 ]
 _PHONE_CUE = _re(r"(?:tel|phone|fon|mobile?|cell|call|number|text me|ring|operator on|fax|appeler|appelle[rz]?|llama[rd]?|anrufen|電話|电话|手机)[^\n\d]{0,16}$", regex.I)
 
@@ -149,7 +153,7 @@ _NAME_BEFORE = _re(r"(?:\b(?:contact|ask|blame|reviewer\W+|rater,|lists|says|bad
 _NAME_AFTER = _re(r"^(?:'s\b|\s*[:<|;\])]|\"|,? (?:signed|reran|pointed|and|hat|fragen|aprobó|a validé|antes|avant|before|says|confirmed)\b|さん|です|已|様|氏)", regex.I)
 _W = r"(?:\p{Latin}\.|\p{Latin}'[\p{Latin}\p{M}]+(?:-[\p{Latin}\p{M}]+)*|[\p{Latin}\p{M}]{2,}(?:['-][\p{Latin}\p{M}]+)*)"
 _ANY = rf"{_W}(?:[ ]{_W}){{1,4}}?|{_W}(?:[ ]{_W}){{0,2}}, {_W}(?:[ ]{_W})?"
-# names in any case where the text around leaves no doubt
+# names in any case where the text around leaves no doubt, with a word that must be there
 _SURE_NAME = [
     ("reviewer", rf"reviewer\": \"(?P<n>{_ANY})\""),
     (": please", rf"@(?P<n>{_ANY}): please"),
@@ -214,14 +218,23 @@ class Finder:
                 taken[a:b] = b"\1" * (b - a)
                 spans.append((a, b, kind, round(score, 2)))
 
-        for p in _ADDRESS:
+        for code in _ANY_POSTCODE.finditer(view):
+            # an address in this order ends with its postcode and is shorter than the window
+            for m in _ADDRESS[0].finditer(view, max(0, code.start() - 240), code.end()):
+                if m.end() == code.end():
+                    keep(m.start(), m.end(), "address", 0.9)
+        for p in _ADDRESS[1:]:
             for m in p.finditer(view):
                 keep(m.start(), m.end(), "address", 0.9)
         for sign in _AT.finditer(view):
-            # a local part has 64 characters, a domain 255
-            for m in _EMAIL[0].finditer(view, max(0, sign.start() - 96), sign.end() + 300):
-                if m.start() < sign.start() < m.end():
-                    keep(m.start(), m.end(), "email", 0.9)
+            # from the sign back over what may stand in a local part
+            a = sign.start() - (view[sign.start() - 1 : sign.start()] == " ")
+            while a and _IN_LOCAL.match(view[a - 1]):
+                a -= 1
+            while a < sign.start() and view[a] in ".-'+%_":
+                a += 1
+            if m := _EMAIL[0].match(view, a):
+                keep(m.start(), m.end(), "email", 0.9)
         if _DOT.search(view):
             for m in _EMAIL[1].finditer(view):
                 keep(m.start(), m.end(), "email", 0.9)
@@ -255,7 +268,8 @@ class Finder:
                     keep(a, b, "name", self._name(view, a, b))
                     at = max(m.start() + 1, b)
         for anchor, p in _SURE_END:
-            if anchor in view:
+            # a record is told by the mail in it
+            if anchor in view and (anchor != ";" or any(x[2] == "email" for x in spans)):
                 for m in p.finditer(view):
                     for a, b in self._trimmed(view, *m.span("n"), False):
                         keep(a, b, "name", 0.7)
@@ -336,7 +350,7 @@ def found(documents: DataFrame) -> DataFrame:
                     passage.append(text[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kind, pa.string()), pa.array(begin, pa.int64()), pa.array(passage, pa.string())], ["doc_id", "pii_kind", "begin_at", "found_text"])
 
-    flat = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    flat = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != "")))
     return flat.mapInArrow(work, "doc_id bigint, pii_kind string, begin_at bigint, found_text string")
 
 
@@ -358,4 +372,4 @@ def redacted(documents: DataFrame) -> DataFrame:
             texts = [t if not t else redact(t, finder.find(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "redacted_text"])
 
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, redacted_text string")
+    return spread(documents.select("doc_id", "text")).mapInArrow(work, "doc_id bigint, redacted_text string")
