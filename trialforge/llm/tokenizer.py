@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialforge.functions.partitions import spread
+
 LONG = 256
 #: Words whose ids are remembered by a worker.
 MEMO = 200_000
@@ -176,7 +178,7 @@ def _encode(df: DataFrame, key: str, text: str, path: str | None, count: bool) -
                     col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), col], ["k", name])
 
-    flat = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    flat = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return flat.mapInArrow(work, f"k {key_type}, {name} {'bigint' if count else 'array<int>'}").withColumnRenamed("k", key)
 
 
