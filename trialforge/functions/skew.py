@@ -10,17 +10,23 @@ from pyspark.sql import Window as W
 MAX_HOT, TRACKED = 256, 4096
 
 
-def hot_keys(df: DataFrame, key: str, share: float | None = None) -> list:
-    """The keys of df that hold about `share` of its rows or more (default: a quarter of a shuffle partition's fair share).
+def counted_hot_keys(df: DataFrame, key: str, share: float | None = None) -> tuple[int, list]:
+    """The number of rows with a key, and the keys that hold about `share` of them or more (default: a quarter of a shuffle
+    partition's fair share).
 
-    One pass with a mergeable frequent-items sketch: a bounded answer of MAX_HOT values, whatever the size of df. The answer
-    only steers how rows are spread over tasks; no result depends on it. Nulls are never hot.
+    One pass with a mergeable frequent-items sketch: a bounded answer of MAX_HOT values, whatever the size of df. The keys only
+    steer how rows are spread over tasks; no result depends on them. Nulls are never hot.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     share = share or max(1 / (4 * parts), 2 / TRACKED)
     found = df.where(F.col(key).isNotNull()).select(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {TRACKED})").alias("top")).first()
     least = max(2, found["n"] * share)
-    return [x["item"] for x in found["top"] or [] if x["count"] >= least]
+    return found["n"], [x["item"] for x in found["top"] or [] if x["count"] >= least]
+
+
+def hot_keys(df: DataFrame, key: str, share: float | None = None) -> list:
+    """The keys that counted_hot_keys finds."""
+    return counted_hot_keys(df, key, share)[1]
 
 
 def is_hot(key: Column, hot: list) -> Column:

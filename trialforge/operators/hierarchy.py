@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialforge.functions.lineage import discard, materialize
-from trialforge.functions.skew import hot_keys, lookup_join
+from trialforge.functions.skew import counted_hot_keys, hot_keys, lookup_join
 from trialforge.functions.text import folded, present
 
 #: No chain of 2^50 nodes fits a store; the loop can't run on.
@@ -39,27 +39,35 @@ def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, lookup_join(child, target, "parent", "id", hot_keys(child, "parent")).select("v", "up")
 
 
-def _doubled(state: DataFrame, step: int, extra: dict) -> DataFrame:
+def _doubled(state: DataFrame, step: int, extra: dict, hot: list) -> DataFrame:
     """The pointers of the nodes that are exactly `step` below their pointer's end, moved on by that end's own pointer."""
     moving = state.where(F.col("dist") == step)
     ends = state.select(F.col("v").alias("end"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), *[F.col(c).alias(f"{c}2") for c in extra])
-    hot = hot_keys(moving, "anc")
     moved = lookup_join(moving, ends, "anc", "end", hot)
     return moved.select("v", F.col("anc2"), (F.col("dist") + F.col("dist2")).alias("dist2"), *[f(F.col(c), F.col(f"{c}2")).alias(f"{c}2") for c, f in extra.items()])
 
 
 def _rounds(state: DataFrame, sizes: bool, extra: dict) -> tuple[DataFrame, int]:
-    """Doubles until nothing is left to resolve; state has v, anc, dist, size (with sizes) and the extra columns."""
+    """Doubles until nothing is left to resolve; state has v, anc, dist, size (with sizes) and the extra columns.
+
+    A round is one small job, which counts the nodes still to resolve and finds the ends that many of them point to, and one that
+    writes the new pointers. The ends are only told apart once a round has resolved nothing.
+    """
     spark = state.sparkSession
     state, path = materialize(state, "pointers")
-    step, before = 1, None
+    step, before, ends = 1, None, None
     for _ in range(MOST_ROUNDS):
         far = state.where(F.col("dist") == step)
-        now = far.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("anc").alias("ends")).first()
-        if now["n"] == 0 or (before is not None and (now["n"], now["ends"]) == before):
+        n, hot = counted_hot_keys(far, "anc")
+        if n == 0:
             break
-        before = (now["n"], now["ends"])
-        nxt = state.join(_doubled(state, step, extra), "v", "left")
+        if n == before:
+            now = far.select("anc").distinct().count()
+            if now == ends:
+                break
+            ends = now
+        before = n
+        nxt = state.join(_doubled(state, step, extra, hot), "v", "left")
         kept = [F.coalesce(f"{c}2", c).alias(c) for c in ("anc", "dist", *extra)]
         if sizes:
             gain = far.groupBy(F.col("anc").alias("v")).agg(F.sum("size").alias("gain"))
