@@ -120,7 +120,7 @@ def replace_atomically(df: DataFrame, path: str) -> str:
     df.write.parquet(f"{path}/{version}")
     fs, root = _fs(spark, path)
     Path = spark._jvm.org.apache.hadoop.fs.Path
-    temporary, pointer = Path(root, f".{version}"), Path(root, "_current")
+    temporary, pointer = Path(root, f".{version}"), Path(root, "CURRENT")
     stream = fs.create(temporary, True)
     stream.write(bytearray(version.encode()))
     stream.close()
@@ -134,7 +134,7 @@ def replace_atomically(df: DataFrame, path: str) -> str:
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """The version that the pointer names."""
-    version = read_text(spark, f"{path}/_current").strip()
+    version = read_text(spark, f"{path}/CURRENT").strip()
     return spark.read.parquet(str(PurePosixPath(path) / version) if "://" not in path else f"{path}/{version}")
 
 

@@ -71,7 +71,7 @@ def merged_latest(batch: DataFrame, path: str, key: str, seq: str) -> None:
     from trialforge.sources.files import exists, read_current, replace_atomically
 
     rows = batch
-    if exists(batch.sparkSession, f"{path}/_current"):
+    if exists(batch.sparkSession, f"{path}/CURRENT"):
         rows = read_current(batch.sparkSession, path).unionByName(batch)
     rest = [c for c in rows.columns if c != key]
     replace_atomically(rows.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("x")).select(key, "x.*"), path)
