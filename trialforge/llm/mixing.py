@@ -156,10 +156,13 @@ def draw(docs: DataFrame, leaves: list[Leaf], seed: int = 0) -> DataFrame:
             flat = _planned(docs, leaves, open_gaps, epoch).where((F.col("gap") >= 1) & (F.col("n_tokens") <= limit))
             flat = flat.where(~F.exists("parts", lambda p: (p["epoch"] == F.col("epoch")) & _takes(p, seed)))
             # a row for each leaf at most
-            for r in _cuts(flat.withColumn("h", _hash(seed, F.col("epoch")))).collect():
+            found = _cuts(flat.withColumn("h", _hash(seed, F.col("epoch")))).collect()
+            for r in found:
                 i = at[r["mix_id"], r["leaf"]]
                 leaves[i].parts[-1][1].append((limits[i], r["h"], r["doc_id"]))
                 gaps[i] -= r["so_far"]
+            if k and not found:
+                break  # another pass would have the same limits
     out = _planned(docs, leaves, gaps, [0] * len(leaves))
     repeats = F.col("epochs") + F.size(F.filter("parts", lambda p: _takes(p, seed)))
     out = out.withColumn("n_repeats", repeats.cast("long")).where(F.col("n_repeats") > 0)
