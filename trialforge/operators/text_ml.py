@@ -10,10 +10,13 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialforge.functions.lineage import materialize
+from trialforge.functions.partitions import spread
+
 # Words that mark a text of mixed sentiment, and the labels of the two extremes.
 MIXED = ("still", "mostly", "acceptable", "partial", "rough", "yet", "but")
 EXTREME = (0, 4)
@@ -24,20 +27,30 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\w\w+)"), 1)
 
 
+def _windows(size: Column, k: int, cut) -> Column:
+    """The pieces that `cut` makes at each start of a window of k among `size` places; none if there are fewer."""
+    return F.when(size >= k, F.transform(F.sequence(F.lit(1), size - (k - 1)), lambda i: cut(i))).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of 1 to n tokens."""
-    runs = [F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i, k=k: F.array_join(F.slice(tokens, i, k), " ")) for k in range(1, n + 1)]
-    return F.concat(*[F.when(F.size(tokens) >= k, r).otherwise(F.array().cast("array<string>")) for k, r in zip(range(1, n + 1), runs)])
+
+    def runs(k: int) -> Column:
+        return _windows(F.size(tokens), k, lambda i: F.array_join(F.slice(tokens, i, k), " "))
+
+    return F.concat(*[runs(k) for k in range(1, n + 1)])
 
 
 def char_ngrams(text: Column, least: int, most: int) -> Column:
-    """Runs of `least` to `most` characters within words that are padded with a space on both sides; a shorter word gives itself."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    """Runs of `least` to `most` characters within words that are padded with a space on both sides; longer runs than a padded word
+    don't occur in it."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\r\n\f]+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = lambda w, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (k - 1), F.lit(1))), lambda i: F.substring(w, i, F.lit(k)))
-    # a word no longer than k gives one run for the smallest such k only
-    per = [F.flatten(F.transform(padded, lambda w, k=k: F.when((F.length(w) >= k) | (F.lit(k) == least), grams(w, k)).otherwise(F.array().cast("array<string>")))) for k in range(least, most + 1)]
-    return F.concat(*per)
+
+    def runs(k: int) -> Column:
+        return F.flatten(F.transform(padded, lambda w: _windows(F.length(w), k, lambda i: F.substring(w, i, F.lit(k)))))
+
+    return F.concat(*[runs(k) for k in range(least, most + 1)])
 
 
 def tf_idf(docs: DataFrame, key: str, terms: Column, min_df: int = 1) -> DataFrame:
@@ -90,20 +103,25 @@ def estimator(kind: str):
     return made[kind]()
 
 
-def classify(rows: DataFrame, kind: str, fit_on: Column, **options) -> DataFrame:
-    """rows (doc_id, text, label, ...) with a prediction; features and model are fitted on the rows of fit_on only."""
+def vectors(rows: DataFrame, fit_on: Column, **options) -> DataFrame:
+    """rows with their features, made by stages that are fitted on the rows of fit_on only. They are written to the shared folder, as
+    every iteration of every fit reads them."""
     stages, inputs = features(**options)
-    flat = rows.withColumns(dict(inputs))
-    model = Pipeline(stages=[*stages, estimator(kind)]).fit(flat.where(fit_on))
-    return model.transform(flat).select(*rows.columns, F.col("prediction").cast("int").alias("prediction"))
+    flat, _ = materialize(spread(rows).withColumns(dict(inputs)), "terms")
+    made = Pipeline(stages=stages).fit(flat.where(fit_on)).transform(flat).select(*rows.columns, "features")
+    return materialize(made, "vectors")[0]
 
 
-def calibrated(rows: DataFrame, fit_on: Column, folds: int = 2, **options) -> DataFrame:
-    """rows with the probability of their label from a linear SVM, calibrated by a sigmoid that is fitted, for each label, on the
-    margins of rows that the model of their fold hasn't seen; averaged over the folds and scaled to sum 1."""
-    stages, inputs = features(**options)
-    flat = rows.withColumns(dict(inputs))
-    prepared = Pipeline(stages=stages).fit(flat.where(fit_on)).transform(flat).select(*rows.columns, "features")
+def classify(prepared: DataFrame, kind: str, fit_on: Column) -> DataFrame:
+    """Rows of `vectors` (doc_id, label, features, ...) with a prediction by a model that is fitted on the rows of fit_on only."""
+    model = estimator(kind).fit(prepared.where(fit_on))
+    rest = [c for c in prepared.columns if c != "features"]
+    return model.transform(prepared).select(*rest, F.col("prediction").cast("int").alias("prediction"))
+
+
+def calibrated(prepared: DataFrame, fit_on: Column, folds: int = 2) -> DataFrame:
+    """Rows of `vectors` with a prediction and the probability of their label from a linear SVM, calibrated by a sigmoid that is
+    fitted, for each label, on the margins of rows that the model of their fold hasn't seen; averaged over the folds, scaled to 1."""
     train = prepared.where(fit_on).withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
     labels = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
     every = None
@@ -111,13 +129,14 @@ def calibrated(rows: DataFrame, fit_on: Column, folds: int = 2, **options) -> Da
         for y in labels:
             target = (F.col("label") == y).cast("double")
             svm = LinearSVC(maxIter=10, regParam=0.01, labelCol="_y", rawPredictionCol="_raw", predictionCol="_p").fit(train.where(F.col("_fold") != k).withColumn("_y", target))
-            margin = lambda df: svm.transform(df).withColumn("_m", F.array(vector_to_array("_raw")[1]))  # noqa: B023, E731
-            held = margin(train.where(F.col("_fold") == k).withColumn("_y", target))
-            from pyspark.ml.functions import array_to_vector
 
-            sigmoid = LogisticRegression(featuresCol="_mv", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_r2", predictionCol="_p2").fit(held.withColumn("_mv", array_to_vector("_m")))
-            scored = sigmoid.transform(margin(prepared).withColumn("_mv", array_to_vector("_m"))).select("doc_id", F.lit(y).alias("class"), vector_to_array("_pr")[1].alias("p"))
+            def margin(df: DataFrame, svm=svm) -> DataFrame:
+                return svm.transform(df).withColumn("_m", array_to_vector(F.array(vector_to_array("_raw")[1])))
+
+            sigmoid = LogisticRegression(featuresCol="_m", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_r2", predictionCol="_p2").fit(margin(train.where(F.col("_fold") == k).withColumn("_y", target)))
+            scored = sigmoid.transform(margin(prepared)).select("doc_id", F.lit(y).alias("class"), vector_to_array("_pr")[1].alias("p"))
             every = scored if every is None else every.unionByName(scored)
     means = every.groupBy("doc_id", "class").agg(F.avg("p").alias("p"))
     total = means.groupBy("doc_id").agg(F.sum("p").alias("_all"), F.max_by("class", "p").alias("prediction"))
-    return rows.join(total, "doc_id").join(means, ["doc_id"]).where(F.col("class") == F.col("label")).select(*rows.columns, "prediction", (F.col("p") / F.col("_all")).alias("probability"))
+    rest = [c for c in prepared.columns if c != "features"]
+    return prepared.drop("features").join(total, "doc_id").join(means, ["doc_id"]).where(F.col("class") == F.col("label")).select(*rest, "prediction", (F.col("p") / F.col("_all")).alias("probability"))

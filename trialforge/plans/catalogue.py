@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialforge.plans import general, reference
+from trialforge.plans import general, reference, texts
 
-QUERIES = {**general.QUERIES, **reference.QUERIES}
-ORACLE = {**general.ORACLE, **reference.ORACLE}
+QUERIES = {**general.QUERIES, **reference.QUERIES, **texts.QUERIES}
+ORACLE = {**general.ORACLE, **reference.ORACLE, **texts.ORACLE}
