@@ -720,8 +720,8 @@ def branch_cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rejected(spark: SparkSession, d: str) -> DataFrame:
-    """Rejections with their gates: two texts of each of the order's first lines, none for some."""
-    gates = view(spark, d, "gates").where("pos <= 2").groupBy("seq").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gate_text", "second_text"))), lambda x: F.array(x["gate_text"], x["second_text"]))).alias("g"))
+    """Rejections with their gates: two texts of each of the order's lines, none for some."""
+    gates = view(spark, d, "gates").groupBy("seq").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gate_text", "second_text"))), lambda x: F.array(x["gate_text"], x["second_text"]))).alias("g"))
     runs = view(spark, d, "experiments").join(gates, "seq", "left")
     return runs.withColumn("failures", F.when(F.col("seq") % 3 != 0, F.col("g"))).drop("g")
 
