@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialforge.functions.lineage import materialize
+from trialforge.functions.lineage import discard, materialize
 
 
 def merged(base: object, patch: object) -> object:
@@ -77,29 +77,34 @@ def candidate_id(family: Column, operator: Column, sign: Column) -> Column:
     return F.concat_ws("_", family, operator, sign)
 
 
-def resolved(candidates: DataFrame, baseline: str, most_levels: int = 64) -> DataFrame:
+def resolved(candidates: DataFrame, baseline: str) -> DataFrame:
     """candidate_id and config: the baseline, then each parent's resolved configuration and patch in the parents' order, then the
     own patch. Level by level, so a shared ancestor is resolved once. candidates has candidate_id, parent_ids and config_patch.
 
     As every parent comes with the baseline, what a later parent takes from it replaces an earlier parent's values. Parents that
-    aren't there add nothing; candidates on or below rings stay out.
+    aren't there add nothing; candidates on or below rings stay out. Levels end when one resolves nothing: what is left then waits
+    for a ring. Levels and the links still open are written to the shared folder, so plans stay as long as at the first level.
     """
+    spark, base = candidates.sparkSession, F.lit(baseline)
+    candidates, _ = materialize(candidates.select("candidate_id", "parent_ids", "config_patch"), "candidates")
     links = candidates.select("candidate_id", F.posexplode("parent_ids").alias("pos", "parent"))
     links = links.join(candidates.select(F.col("candidate_id").alias("parent")), "parent", "left_semi")
-    todo = candidates.join(links.select("candidate_id").distinct(), "candidate_id", "left_anti")
-    base = F.lit(baseline)
-    done = todo.select("candidate_id", deep_merge(base, "config_patch").alias("config"), "config_patch")
-    out, rest = done, candidates.join(todo.select("candidate_id"), "candidate_id", "left_anti")
-    for _ in range(most_levels):
-        if rest.isEmpty():
-            break
-        known = out.select(F.col("candidate_id").alias("parent"), "config", F.col("config_patch").alias("parent_patch"))
-        parts = links.join(rest.select("candidate_id"), "candidate_id", "left_semi").join(known, "parent", "left")
-        ready = parts.groupBy("candidate_id").agg(F.every(F.col("config").isNotNull()).alias("ok"), F.array_sort(F.collect_list(F.struct("pos", "config", "parent_patch"))).alias("l")).where("ok")
+    empty = F.lit(None).cast("string")
+    waiting, path = materialize(links.select("candidate_id", "pos", "parent", empty.alias("config"), empty.alias("parent_patch")), "links")
+    roots = candidates.join(waiting.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    new, level = materialize(roots.select("candidate_id", deep_merge(base, "config_patch").alias("config"), "config_patch"), "level")
+    levels = [level]
+    while True:
+        # links take what the last level resolved; a candidate is ready when each of its links has a configuration
+        last = new.select(F.col("candidate_id").alias("parent"), F.col("config").alias("_config"), F.col("config_patch").alias("_patch"))
+        left = waiting.join(new.select("candidate_id"), "candidate_id", "left_anti").join(last, "parent", "left")
+        filled, filled_path = materialize(left.select("candidate_id", "pos", "parent", F.coalesce("config", "_config").alias("config"), F.coalesce("parent_patch", "_patch").alias("parent_patch")), "links")
+        discard(spark, path)
+        waiting, path = filled, filled_path
+        ready = waiting.groupBy("candidate_id").agg(F.every(F.col("config").isNotNull()).alias("ok"), F.array_sort(F.collect_list(F.struct("pos", "config", "parent_patch"))).alias("l")).where("ok")
         layers = F.concat(F.array(base), F.flatten(F.transform("l", lambda x: F.array(x["config"], x["parent_patch"]))), F.array("config_patch"))
-        new, _ = materialize(rest.join(ready, "candidate_id").select("candidate_id", deep_merge_all(layers).alias("config"), "config_patch"), "level")
+        new, level = materialize(candidates.join(ready, "candidate_id").select("candidate_id", deep_merge_all(layers).alias("config"), "config_patch"), "level")
         if new.isEmpty():
             break
-        out = out.unionByName(new)
-        rest = rest.join(new.select("candidate_id"), "candidate_id", "left_anti")
-    return out.select("candidate_id", "config")
+        levels.append(level)
+    return spark.read.schema(new.schema).parquet(*levels).select("candidate_id", "config")
