@@ -96,17 +96,26 @@ def hierarchy(links: DataFrame) -> DataFrame:
     return named.select("candidate_id", F.coalesce("root_id", F.lit("")).alias("root_id"), "node_depth", "n_descendants", "cycle_state")
 
 
-def ancestor_paths(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (v, id) and, for each node that runs into no ring, v and its ancestors' numbers from the parent up to the root."""
+def ancestor_paths(links: DataFrame, below_rings: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes (v, id) and, for each node that runs into no ring, v and its ancestors' numbers from the parent up to the root; with
+    below_rings also the nodes below a ring, with their ancestors up to, but without, the first one on it."""
     nodes, edges = _numbered(links)
     start = nodes.select("v").join(edges, "v", "left").select("v", F.coalesce("up", "v").alias("anc"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.when(F.col("up").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("up")).alias("path"))
-    # a node that runs into a ring carries a path as long as the jump, at most four times the longest chain; it is dropped after
+    # a node that runs into a ring carries a path as long as the jump, at most four times the longest chain; it is dropped or cut after
     state, step = _rounds(start, False, {"path": lambda a, b: F.concat(a, b)})
-    return nodes.select("v", "id"), state.where(F.col("dist") != step).select("v", "path")
+    paths = state.where(F.col("dist") != step).select("v", "path")
+    if below_rings:
+        far = state.where(F.col("dist") == step)
+        ring = far.select(F.col("anc").alias("v")).distinct()
+        below = far.join(ring, "v", "left_anti").select("v", "path")
+        steps = below.select("v", F.posexplode("path").alias("pos", "up"))
+        entry = steps.join(ring.withColumnRenamed("v", "up"), "up", "left_semi").groupBy("v").agg(F.min("pos").alias("n"))
+        paths = paths.unionByName(below.join(entry, "v").select("v", F.slice("path", F.lit(1), F.col("n")).alias("path")))
+    return nodes.select("v", "id"), paths
 
 
 def closure(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """ancestor_id, candidate_id, distance: every node with every node above it. As many rows as all depths together."""
+    """ancestor_id, candidate_id, distance: every node with every node above it on its path. As many rows as all paths are long."""
     pairs = paths.select("v", F.posexplode("path").alias("pos", "up"))
     named = pairs.join(nodes.withColumnRenamed("id", "candidate_id"), "v")
     above = nodes.select(F.col("v").alias("n"), F.col("id").alias("ancestor_id"))

@@ -83,8 +83,8 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each candidate with all its descendants, rings left out."""
-    return hierarchy.closure(*hierarchy.ancestor_paths(hierarchy.first_parents(table(spark, d, "candidates"))))
+    """Each candidate with all its descendants, also below rings; only candidates on a ring are left out as ancestors."""
+    return hierarchy.closure(*hierarchy.ancestor_paths(hierarchy.first_parents(table(spark, d, "candidates")), below_rings=True))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
