@@ -892,8 +892,11 @@ def interval_purge(spark: SparkSession, d: str) -> DataFrame:
 SELECT fold, round(avg(composite_score) FILTER (WHERE cycle >= a AND cycle < b), 6) AS train_mean, round(avg(composite_score) FILTER (WHERE cycle >= c AND cycle < e), 6) AS test_mean FROM w, experiments GROUP BY fold"""))
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """F16: expanding windows with a dead zone before each test window."""
-    windows = temporal.walk_forward(0, 72, 24, 6, 12, 1, spark)
-    out = temporal.walk_forward_scores(view(spark, d, "experiments"), "cycle", "composite_score", windows)
+    runs = view(spark, d, "experiments")
+    ends = runs.agg(F.min("cycle").alias("first"), F.max("cycle").alias("last")).first()
+    first, last = (0, 0) if ends["first"] is None else (ends["first"], ends["last"] + 1)
+    windows = temporal.walk_forward(first, last, 24, 6, 12, 1, spark)
+    out = temporal.walk_forward_scores(runs, "cycle", "composite_score", windows)
     return out.select(F.col("fold").cast("long").alias("fold"), F.round("train_mean", 6).alias("train_mean"), F.round("test_mean", 6).alias("test_mean"))
 
 
