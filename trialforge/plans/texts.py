@@ -85,10 +85,14 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "text", place.cast("double").alias("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0).alias("train"))
 
 
+#: The reference's features: 800 words (here also pairs of words) and half as many runs of 3 to 4 characters, from one text on.
+FEATURES = {"words": 800, "min_df": 1, "n": 2, "chars": (3, 4)}
+
+
 @query()
 def text_classifiers(spark: SparkSession, d: str) -> DataFrame:
-    """K1-K4, K6, K8: the language of held-out texts by three classifiers, with their scores by macro_scores."""
-    prepared, out = text_ml.vectors(_labelled(spark, d), F.col("train"), words=400, min_df=3, n=1, chars=(2, 2)).drop("text"), None
+    """K1-K4, K6: the language of held-out texts by three classifiers, with their scores by macro_scores."""
+    prepared, out = text_ml.vectors(_labelled(spark, d), F.col("train"), **FEATURES).drop("text"), None
     for kind in ("logistic", "svm", "bayes"):
         one = text_ml.classify(prepared, kind, F.col("train")).where("not train").select(F.lit(kind).alias("kind"), "doc_id", F.col("label").cast("int").alias("label"), "prediction")
         out = one if out is None else out.unionByName(one)
@@ -105,7 +109,7 @@ def text_scores(spark: SparkSession, d: str) -> DataFrame:
 def calibrated_text(spark: SparkSession, d: str) -> DataFrame:
     """K5: calibrated probability that a text is English."""
     rows = _labelled(spark, d).withColumn("label", (F.col("label") == 0).cast("double"))
-    return text_ml.calibrated(text_ml.vectors(rows, F.col("train"), words=500, min_df=3, n=1, chars=None).drop("text"), F.col("train")).where("not train").select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), F.round("probability", 6).alias("probability"))
+    return text_ml.calibrated(text_ml.vectors(rows, F.col("train"), **FEATURES).drop("text"), F.col("train")).where("not train").select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), F.round("probability", 6).alias("probability"))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS seq, event_id, user_id, event_type FROM events")
