@@ -5,8 +5,8 @@ because of its cap on repeats, goes to its siblings in proportion to their weigh
 leaf's budget is drawn as whole epochs over its texts and a token-prefix of one more epoch in a seeded order.
 
 The prefix ends before the text that would pass the budget. As one text may be very long, the gap that remains is filled by
-prefixes of the texts that follow and are short against it; after PASSES of them the gap is a few tokens. Where even the whole
-epoch leaves a gap, as when one text makes up most of the leaf, the next epoch's prefix goes on, within the cap. Prefix sums run
+prefixes of the texts that follow and are short against it; after PASSES of them the gap is a few tokens. Where it is
+more, passes over texts as long as the gap itself follow until none of them fits. Where even the whole epoch leaves a gap, as when one text makes up most of the leaf, the next epoch's prefix goes on, within the cap. Prefix sums run
 over slices of the hash order, so a leaf of any size is summed by many tasks; what reaches the driver are a few numbers a leaf.
 
 Defined results: texts without tokens (null or empty ones) are never drawn; rows of other sources don't take part; a leaf without
@@ -25,6 +25,8 @@ from pyspark.sql import Window as W
 PASSES, EXTRA_EPOCHS = 4, 3
 #: A gap below this part of the budget is left.
 SMALL_GAP = 0.001
+#: Budgets are products of a few doubles: within this part of whole epochs they are whole epochs.
+ROUNDING = 1e-9
 #: Targets are a configuration, not data: more leaves than this are refused.
 MOST_LEAVES = 100_000
 
@@ -100,6 +102,10 @@ def plan(leaves: list[Leaf], total: float | None = None) -> None:
             allot(own, min(limits, default=0.0))
         else:
             allot(own, min(float(total), float(sum(x.capacity for x in own))))
+        for x in own:
+            whole = round(x.budget / x.tokens) * x.tokens if x.tokens else 0
+            if abs(x.budget - whole) <= ROUNDING * whole:
+                x.budget = float(whole)  # whole epochs, but for the rounding of the shares
 
 
 _CUT = "struct<longest:bigint,h:bigint,doc_id:bigint>"
@@ -147,11 +153,17 @@ def draw(docs: DataFrame, leaves: list[Leaf], seed: int = 0) -> DataFrame:
         epoch = [x.epochs + extra for x in leaves]
         for i in going:
             leaves[i].parts.append((epoch[i], []))
-        for k in range(PASSES):
-            limits = {i: (2**62 if k == 0 else int(gaps[i] // 8)) for i in going if gaps[i] >= 1}
-            if not any(limits.values()):
+        k = 0
+        while k <= PASSES:
+            # the first pass takes any text, the next ones only texts that are short against the gap, the last ones any that it holds
+            part, least = (8, 0.0) if k < PASSES else (1, SMALL_GAP)
+            limits = {i: (2**62 if k == 0 else int(gaps[i] // part)) for i in going if gaps[i] >= max(1.0, least * leaves[i].budget)}
+            if not limits:
                 break
-            limit = F.lit(2**62) if k == 0 else F.floor(F.col("gap") / 8)
+            if not any(limits.values()):
+                k = PASSES
+                continue
+            limit = F.lit(2**62) if k == 0 else F.floor(F.col("gap") / part)
             open_gaps = [g if i in limits else 0.0 for i, g in enumerate(gaps)]
             flat = _planned(docs, leaves, open_gaps, epoch).where((F.col("gap") >= 1) & (F.col("n_tokens") <= limit))
             flat = flat.where(~F.exists("parts", lambda p: (p["epoch"] == F.col("epoch")) & _takes(p, seed)))
@@ -161,8 +173,11 @@ def draw(docs: DataFrame, leaves: list[Leaf], seed: int = 0) -> DataFrame:
                 i = at[r["mix_id"], r["leaf"]]
                 leaves[i].parts[-1][1].append((limits[i], r["h"], r["doc_id"]))
                 gaps[i] -= r["so_far"]
-            if k and not found:
-                break  # another pass would have the same limits
+            # a pass that finds nothing leaves the limits as they are; the last ones go on until nothing fits the gap
+            if found:
+                k = min(k + 1, PASSES)
+            else:
+                k = PASSES if 0 < k < PASSES else k + 1
     out = _planned(docs, leaves, gaps, [0] * len(leaves))
     repeats = F.col("epochs") + F.size(F.filter("parts", lambda p: _takes(p, seed)))
     out = out.withColumn("n_repeats", repeats.cast("long")).where(F.col("n_repeats") > 0)
