@@ -29,6 +29,20 @@ def test_lines_strict_lenient_and_kept(spark, tmp_path):
     assert files.read_lines(spark, str(tmp_path / "none"), S).count() == 0
 
 
+def test_lines_of_several_files_follow_their_names(spark, tmp_path):
+    sizes = {"a": 10, "b": 20_000, "c": 300}
+    for name, n in sizes.items():
+        write(tmp_path / f"{name}.jsonl", "".join(json.dumps({"id": name, "n": i}) + "\n\n" * (i % 7 == 0) + "\n" for i in range(n)))
+    want = [(name, i) for name, n in sizes.items() for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = files.read_lines(spark, str(tmp_path), S).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.seq for r in got] == list(range(len(want))) and [(r.id, r.n) for r in got] == want
+
+
 def test_documents_text_and_yaml(spark, tmp_path):
     doc = write(tmp_path / "d.json", '{\n "id": "x",\n "n": 2\n}')
     assert [tuple(r) for r in files.read_document(spark, doc, S).collect()] == [("x", 2)]

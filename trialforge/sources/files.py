@@ -12,6 +12,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,33 +46,31 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.StructType, bad:
     out = T.StructType([T.StructField("seq", T.LongType()), *schema.fields, *([T.StructField("corrupt", T.StringType())] if bad == "keep" else [])])
     if not exists(spark, path):
         return spark.createDataFrame([], out)
-    # one line a row; files are read in whole splits in their order, which the id follows within a file
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    lines = lines.where(F.trim("value") != "")
+    # one line a row; a file is read in blocks, and the id follows the lines of a block
+    at = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")]
+    lines = spark.read.text(path).select("value", *at).where(F.trim("value") != "")
     mode = "FAILFAST" if bad == "fail" else "PERMISSIVE"
     inner = T.StructType([*schema.fields, T.StructField("corrupt", T.StringType())])
-    parsed = lines.select("_f", "_b", "_i", F.from_json("value", schema if bad == "fail" else inner, {"mode": mode, "columnNameOfCorruptRecord": "corrupt"}).alias("x"), "value")
+    parsed = lines.select("_f", "_b", "_i", F.from_json("value", schema if bad == "fail" else inner, {"mode": mode, "columnNameOfCorruptRecord": "corrupt"}).alias("_x"), "value")
     if bad == "drop":
-        parsed = parsed.where(F.col("x").isNotNull() & F.col("x.corrupt").isNull())
-    names = [f.name for f in schema.fields]
-    order = F.struct("_f", "_b", "_i")
-    counted = _numbered(parsed.select(order.alias("_o"), *[F.col(f"x.{n}").alias(n) for n in names], *([F.coalesce("x.corrupt", F.when(F.col("x").isNull(), F.col("value"))).alias("corrupt")] if bad == "keep" else [])))
-    return counted.select("seq", *names, *(["corrupt"] if bad == "keep" else []))
+        parsed = parsed.where(F.col("_x").isNotNull() & F.col("_x.corrupt").isNull())
+    kept = F.coalesce("_x.corrupt", F.when(F.col("_x").isNull(), F.col("value")))
+    return _numbered(parsed).select("seq", *[F.col("_x")[f.name].alias(f.name) for f in schema.fields], *([kept.alias("corrupt")] if bad == "keep" else []))
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """seq from 0 in the order of _o: positions within partitions plus the counts of the partitions before; no global sort."""
-    spark = df.sparkSession
-    placed = df.withColumn("_p", F.spark_partition_id())
-    ordered = placed.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    schema = T.StructType([*placed.schema.fields, T.StructField("seq", T.LongType())])
-    return spark.createDataFrame(ordered, schema)
+    """seq from 0 in the order of file name, block and line: places within blocks plus the rows of the blocks before. What is sorted
+    at once is a block of a file; the sums have one row for each block."""
+    blocks = df.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select(F.col("_f").alias("_file"), F.col("_b").alias("_block"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_f", "_b").orderBy("_i"))
+    placed = df.withColumn("_k", place).join(blocks, (F.col("_f") == F.col("_file")) & (F.col("_b") == F.col("_block")))
+    return placed.withColumn("seq", F.col("_before") + F.col("_k") - 1)
 
 
 def read_named(spark: SparkSession, folder: str, pattern: str, schema: str | T.StructType) -> DataFrame:
-    """All documents of a folder whose name matches, with seq in the order of their names."""
-    from pyspark.sql import Window as W
-
+    """All documents of a folder whose name matches, with seq in the order of their names. Documents are configuration, one a file."""
     docs = spark.read.option("multiLine", True).option("pathGlobFilter", pattern).schema(schema).json(folder)
     return docs.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).withColumn("seq", F.row_number().over(W.orderBy("file")) - 1)
 
