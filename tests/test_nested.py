@@ -3,7 +3,9 @@ import json
 import model
 import pytest
 
-from trialforge.operators.nested import ENTRY, KEY, Pattern, lab_relations, nodes, shred
+from pyspark.sql import functions as F
+
+from trialforge.operators.nested import ENTRY, KEY, Documents, _deep, lab_relations
 
 C = "seq bigint, config_patch string, stability struct<runs bigint, stable boolean, relative_std double>, doc_key string, rule string"
 FR = "snapshot_id bigint, family_champions string, elite_archive string, value string"
@@ -45,49 +47,70 @@ def test_empty(spark):
     assert lab_relations(spark.createDataFrame([], C), spark.createDataFrame([], FR)).count() == 0
 
 
-def test_equal_subtrees_have_one_identity_and_all_occurrences(spark):
-    docs = [(1, '{"a": {"x": 1, "y": [1, 2]}, "b": {"y": [1, 2.0], "x": 1}}'), (2, '[{"x":1,"y":[1,2]}]'), (3, '{"x": "1", "y": [2, 1]}')]
-    bridge = shred(spark.createDataFrame(docs, "k bigint, d string"), "k", "d")
-    rows = bridge.collect()
-    objects = {(r.doc_key, tuple(r.captures)): r.node for r in rows if r.kind == "object"}
-    assert objects[1, ("a",)] == objects[1, ("b",)] == objects[2, ("0",)] != objects[3, ()]
-    stored = {r.node: r.occurrences for r in nodes(bridge).collect()}
-    assert stored[objects[1, ("a",)]] == 3 and sum(stored.values()) == len(rows)
-    # every row but the documents' own hangs on a parent that is there
-    assert all((r.parent is None) == (r.captures == []) for r in rows) and {r.parent for r in rows} - {None} <= set(stored)
+def stored(spark, docs):
+    return Documents(spark.createDataFrame(docs, "k bigint, d string"), "k", {"d": F.col("d")})
+
+
+def test_equal_subtrees_are_stored_once_and_keep_their_occurrences(spark):
+    store = stored(spark, [(1, '{"a": {"x": 1, "y": [1, 2]}, "b": {"y": [1, 2.0], "x": 1}}'), (2, '[{"x":1,"y":[1,2]}]'), (3, '{"x": "1", "y": [2, 1]}'), (4, '{"y": [1, 2], "x": 1}')])
+    bridge, roots = store.bridge.collect(), {r.doc_key: r.node for r in store.roots.collect()}
+    at = {(r.parent, r.place): r.node for r in bridge}
+    assert at[roots[1], "a"] == at[roots[1], "b"] == at[roots[2], "0"] == roots[4] != roots[3]
+    assert len(bridge) == len(at) and [r.ordinal for r in sorted((r for r in bridge if r.parent == roots[1]), key=lambda r: r.place)] == [0, 1]
+    nodes = {r.node: r for r in store.nodes().collect()}
+    assert (nodes[roots[4]].n_documents, nodes[roots[4]].n_places, nodes[roots[4]].children) == (1, 3, 2)
+    assert {r.parent for r in bridge} <= set(nodes) and {r.node for r in bridge} <= set(nodes)
 
 
-def rebuilt(rows):
-    """The documents from their bridge rows: nothing is lost."""
+def rebuilt(store):
+    """The documents from their roots along the bridge: nothing is lost."""
     below = {}
-    for r in rows:
-        below.setdefault((r.doc_key, tuple(r.captures)), r)
+    for r in sorted(store.bridge.collect(), key=lambda r: r.ordinal):
+        below.setdefault(r.parent, []).append(r)
 
-    def value(doc, path):
-        r = below[doc, path]
-        inner = sorted((x for (d, p), x in below.items() if d == doc and len(p) == len(path) + 1 and p[: len(path)] == path), key=lambda x: x.ordinal)
+    def value(r):
         if r.kind == "object":
-            return {x.place: value(doc, (*path, x.place)) for x in inner}
+            return {x.place: value(x) for x in below.get(r.enters, [])}
         if r.kind == "list":
-            return [value(doc, (*path, x.place)) for x in inner]
-        return r.value if r.kind == "string" else json.loads(r.value)
+            return [value(x) for x in below.get(r.enters, [])]
+        return r.value if r.kind in ("string", "encoded") else json.loads(r.value)
 
-    return {doc: value(doc, path) for doc, path in below if not path}
+    return {r.doc_key: value(r) for r in store.roots.collect()}
 
 
 def test_round_trip(spark):
-    docs = {1: {"a": [1, {"b": None}, True, []], "": {"é": "ü\n"}}, 2: [1.5, "x", {}], 3: "text", 4: 12345678901234567890}
-    rows = shred(spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "k bigint, d string"), "k", "d").collect()
-    assert rebuilt(rows) == docs
+    docs = {1: {"a": [1, {"b": None}, True, []], "": {"é": "ü\n"}}, 2: [1.5, "x", {}], 3: "text", 4: 12345678901234567890, 5: {"e": '{"a": [1]}'}}
+    assert rebuilt(stored(spark, [(k, json.dumps(v)) for k, v in docs.items()])) == docs
 
 
 def test_very_deep_and_very_long(spark):
-    docs = [(1, "[" * 50_000 + "]" * 50_000), (2, json.dumps({"a": "x" * 2_000_000})), (3, '{"a": "\\ud800"}')]
-    got = {(r.doc_key, len(r.value)) for r in shred(spark.createDataFrame(docs, "k bigint, d string"), "k", "d", (Pattern("a", ("a",)),)).collect()}
-    assert got == {(2, 2_000_000), (3, 1)}
+    deep = '{"a":' * 5_000 + '{"model": {"type": "low"}}' + "}" * 5_000
+    docs = [(1, "[" * 50_000 + "]" * 50_000), (2, json.dumps({"a": "x" * 2_000_000})), (3, '{"a": "\\ud800"}'), (4, deep), (5, "[" * 50_000 + "]" * 49_999), (6, "9" * 5_000)]
+    store = stored(spark, docs)
+    assert {r.doc_key for r in store.roots.collect()} == {1, 2, 3, 4, 6}
+    assert {(r.root, len(r.value)) for r in store.walk(store.start("d"), "a").where("value is not null").collect()} == {(r.node, n) for r in store.roots.collect() for k, n in ((2, 2_000_000), (3, 1)) if r.doc_key == k}
+    assert store.bridge.where("kind = 'list'").count() == 49_999 and store.bridge.where("place = 'a' and kind = 'object'").count() == 5_000
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\n", null, true, false, {}, []], "b": {"a": "é"}, "a2": NaN}', "[]", " 3 ", '"x"', '{"a": 1, "a": 2}', "-0"])
+def test_the_loop_reads_what_the_library_reads(text):
+    assert repr(_deep(text)) == repr(json.loads(text))
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', '{"a": 1,}', "[1] 2", '{"a": tru}', "[1 2]", "{1: 2}", "]", '"x'])
+def test_the_loop_refuses_what_the_library_refuses(text):
+    for read in (json.loads, _deep):
+        with pytest.raises(ValueError):
+            read(text)
 
 
 @pytest.mark.parametrize("path, want", [(("a", KEY), ["x", "y"]), (("a", "y", ENTRY), ["0", "1"])])
-def test_patterns(spark, path, want):
-    df = spark.createDataFrame([(1, '{"a": {"x": 1, "y": [1, 2]}}')], "k bigint, d string")
-    assert sorted(r.captures[-1] for r in shred(df, "k", "d", (Pattern("p", path),)).collect()) == want
+def test_walks(spark, path, want):
+    store = stored(spark, [(1, '{"a": {"x": 1, "y": [1, 2]}}')])
+    assert sorted(r.captures[-1] for r in store.walk(store.start("d"), *path).collect()) == want
+
+
+def test_a_document_in_most_rows(spark):
+    rows = [(i, '{"model": {"type": "hot"}}' if i % 10 else json.dumps({"model": {"type": f"t{i}"}}), None, "x", "y") for i in range(2_000)]
+    got = lab_relations(spark.createDataFrame(rows, C), spark.createDataFrame([], FR)).collect()
+    assert len(got) == 2_000 and sum(r.found_text == "hot" for r in got) == 1_800

@@ -1,30 +1,36 @@
 """Nested JSON documents as flat tables, by Merkle identities of their subtrees.
 
 Every value of a document gets an identity made bottom-up: a digest of its kind and its canonical scalar, or of its children's
-identities (object members by key, list entries by position). Equal subtrees have equal identities wherever they occur, so a
-table of distinct nodes holds each once, while the bridge rows keep every occurrence: the parent's identity, the place in it and
-the ordinal. A text that is itself a complete JSON object or list counts as that value (documents that were encoded twice).
+identities (object members by key, list entries by position). Equal subtrees have equal identities wherever they occur, so each
+object and list is stored once: its bridge rows name the members with their place, ordinal and identity, and are written once too.
+A document is one row that names its root. Every occurrence is kept: it is a walk from a document's root along the bridge.
 
-Defined results: a null, empty or incomplete document gives no rows; so does one nested deeper than Python's parser reaches
-(about 1,000 levels). A key that occurs twice in an object counts as its last. Unpaired surrogates come out as "?".
+A text that is itself a complete JSON object or list (a document that was encoded twice) is a node of kind `encoded` which holds
+that text; its bridge rows lead on into the object or list.
+
+Defined results: a null, empty or incomplete document gives no rows. Documents of any depth are read and walked with a stack of
+their own. A key that occurs twice in an object counts as its last. Unpaired surrogates come out as "?".
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from decimal import Decimal
 from enum import Enum
 from hashlib import blake2b
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialforge.functions.lineage import materialize
+from trialforge.functions.skew import hot_keys, lookup_join
+
 
 class Step(Enum):
-    """Steps of a pattern that match any member of an object, or any entry of a list, and capture its key or position. An
-    enumeration, as its members are still themselves in another process."""
+    """Steps of a walk to any member of an object, or to any entry of a list."""
 
     KEY = "key"
     ENTRY = "entry"
@@ -32,156 +38,294 @@ class Step(Enum):
 
 KEY, ENTRY = Step.KEY, Step.ENTRY
 
-BRIDGE = "parent string, rule string, captures array<string>, ordinal bigint, place string, node string, kind string, value string, children bigint"
+#: parent is null for a document's own row, which alone has doc_key and column. `enters` is the identity whose bridge rows go on
+#: below the node: its own, that of the encoded document, or null for scalars.
+STORE = "column string, parent string, ordinal bigint, place string, keyed boolean, node string, enters string, kind string, value string, children bigint"
+_NAMES = [x.split()[0] for x in STORE.split(", ")]
+_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
 
+#: A worker remembers texts and identities up to these sizes; what it has forgotten is written again and dropped when rows meet.
+MEMO_BYTES, MEMO_NODES = 32 << 20, 200_000
 
-@dataclass(frozen=True)
-class Pattern:
-    """A path of object keys, KEY and ENTRY steps; occurrences that match it come out under the rule's name."""
 
-    rule: str
-    path: tuple
+# --- reading --------------------------------------------------------------------------------------------------------------
 
 
-def _scalar(v: object) -> tuple[str, str]:
-    if v is None:
-        return "null", "null"
-    if isinstance(v, bool):
-        return "boolean", "true" if v else "false"
-    if isinstance(v, (int, float)):
-        return "number", repr(int(v)) if v == v and abs(v) < 2**53 and v == int(v) else repr(v)
-    return "string", v.encode("utf-8", "replace").decode()
+def _number(s: str) -> tuple[object, int]:
+    """The number at the start of s as JSON writes it, and its length."""
+    m = json.scanner.NUMBER_RE.match(s)
+    if m is None:
+        for name in ("NaN", "Infinity", "-Infinity"):
+            if s.startswith(name):
+                return float(name), len(name)
+        raise ValueError("no value")
+    whole, part, exponent = m.groups()
+    return (float(m.group()) if part or exponent else _integer(whole)), m.end()
+
+
+def _integer(digits: str) -> object:
+    return int(digits) if len(digits) <= 4000 else Decimal(digits)
+
+
+def _deep(s: str) -> object:
+    """json.loads for documents deeper than its recursion reaches: one loop over the text with a stack of open containers."""
+    open_: list = []
+    keys: list = []
+    at, end = 0, len(s)
+    root, expect = None, "value"
+
+    def skip(i: int) -> int:
+        while i < end and s[i] in " \t\n\r":
+            i += 1
+        return i
+
+    def put(x: object) -> None:
+        nonlocal root
+        if not open_:
+            root = x
+        elif isinstance(open_[-1], dict):
+            open_[-1][keys[-1]] = x
+        else:
+            open_[-1].append(x)
+
+    while True:
+        at = skip(at)
+        c = s[at : at + 1]
+        if expect == "end":
+            if c:
+                raise ValueError("text after the document")
+            return root
+        if expect == "key" or (expect == "first" and isinstance(open_[-1], dict) and c != "}"):
+            if c != '"':
+                raise ValueError("no key")
+            keys[-1], at = scanstring(s, at + 1, True)
+            at = skip(at)
+            if s[at : at + 1] != ":":
+                raise ValueError("no colon")
+            at, expect = at + 1, "value"
+            continue
+        if expect in ("after", "first") and c in ("}", "]") and open_ and c == ("}" if isinstance(open_[-1], dict) else "]"):
+            open_.pop()
+            keys.pop()
+            at, expect = at + 1, "after" if open_ else "end"
+            continue
+        if expect == "after":
+            if c != ",":
+                raise ValueError("no comma")
+            at, expect = at + 1, "key" if isinstance(open_[-1], dict) else "value"
+            continue
+        if c in ("{", "["):
+            x: object = {} if c == "{" else []
+            put(x)
+            open_.append(x)
+            keys.append(None)
+            at, expect = at + 1, "first"
+            continue
+        if c == '"':
+            x, at = scanstring(s, at + 1, True)
+        elif s.startswith(("true", "null"), at):
+            x, at = (True if c == "t" else None), at + 4
+        elif s.startswith("false", at):
+            x, at = False, at + 5
+        else:
+            m = json.scanner.NUMBER_RE.match(s, at)
+            x, n = _number(m.group() if m else s[at : at + 9])
+            at += n
+        put(x)
+        expect = "after" if open_ else "end"
+
+
+def parse(text: str) -> object:
+    """The document; ValueError if it isn't complete."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text)
+    except json.JSONDecodeError:
+        raise
+    except ValueError:  # an integer of thousands of digits
+        return json.loads(text, parse_int=_integer)
 
 
 def _embedded(v: str) -> object:
     """The object or list that a text holds as JSON; None if it holds none."""
-    if v.lstrip()[:1] in ("{", "["):
+    if v.lstrip(" \t\n\r")[:1] in ("{", "["):
         try:
-            x = json.loads(v)
-        except (ValueError, RecursionError):
+            x = parse(v)
+        except ValueError:
             return None
         return x if isinstance(x, (dict, list)) else None
     return None
 
 
-def _digest(kind: str, body: str) -> str:
-    return blake2b(f"{kind}\0{body}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+# --- identities -----------------------------------------------------------------------------------------------------------
 
 
-class Shredder:
-    """Documents to bridge rows. Rows of a text that was seen lately are kept, as many documents are copies."""
+def _clean(s: str) -> str:
+    return s if s.isascii() else s.encode("utf-8", "replace").decode()
 
-    def __init__(self, patterns: tuple[Pattern, ...] | None, keep: int = 20_000):
-        self.patterns, self.keep, self.memo = patterns, keep, {}
 
-    def rows(self, text: str) -> list[tuple]:
-        got = self.memo.get(text)
-        if got is None:
-            if len(self.memo) >= self.keep:
-                self.memo.clear()
-            got = self.memo[text] = self._rows(text)
-        return got
+def _scalar(v: object) -> tuple[str, str]:
+    if v is None:
+        return "null", "null"
+    if isinstance(v, bool):
+        return "boolean", "true" if v else "false"
+    if isinstance(v, Decimal):
+        return "number", str(v)
+    if isinstance(v, (int, float)):
+        return "number", repr(int(v)) if v == v and abs(v) < 2**53 and v == int(v) else repr(v)
+    return "string", _clean(v)
 
-    def _rows(self, text: str) -> list[tuple]:
-        try:
-            doc = json.loads(text)
-        except (ValueError, RecursionError):
-            return []
-        out: list[tuple] = []
-        try:
-            states = None if self.patterns is None else [(p, 0, ()) for p in self.patterns]
-            self._walk(doc, states, (), out, -1, "")
-        except RecursionError:
-            return []
-        return out
-
-    def _walk(self, v: object, states: list | None, path: tuple, out: list, ordinal: int, place: str) -> str:
-        """Appends the rows of v and what is below it; returns v's identity. Children know their parent's only afterwards."""
-        raw = v
-        if isinstance(v, str) and (inner := _embedded(v)) is not None:
-            v = inner
-        first = len(out)
-        if states is None:
-            mine = [("", path)]
-        else:
-            mine = [(p.rule, caught) for p, i, caught in states if i == len(p.path)]
-        if isinstance(v, dict):
-            kind, members = "object", [(k.encode("utf-8", "replace").decode(), k, v[k]) for k in sorted(v)]
-        elif isinstance(v, list):
-            kind, members = "list", [(str(i), None, x) for i, x in enumerate(v)]
-        else:
-            kind, members = "", []
-        if kind:
-            ids = []
-            for i, (name, key, x) in enumerate(members):
-                below = None if states is None else [(p, j + 1, (*c, name) if p.path[j] in (KEY, ENTRY) else c) for p, j, c in states if j < len(p.path) and (p.path[j] is (KEY if key is not None else ENTRY) or key is not None and p.path[j] == key)]
-                ids.append(self._walk(x, below, (*path, name), out, i, name))
-            body = "\0".join(f"{n}\0{d}" for (n, _, _), d in zip(members, ids)) if kind == "object" else "\0".join(ids)
-            node = _digest(kind, body)
-            for k in range(first, len(out)):
-                if out[k][0] is None and out[k][9] == len(path) + 1:
-                    out[k] = (node, *out[k][1:])
-            value = raw.encode("utf-8", "replace").decode() if isinstance(raw, str) else None
-        else:
-            kind, value = _scalar(v)
-            node = _digest(kind, value)
-        for rule, caught in mine:
-            out.append((None, rule, list(caught), ordinal, place, node, kind, value, len(members), len(path)))
-        return node
 
+def _digest(kind: str, body: str) -> str:
+    return blake2b(f"{kind}\0{body}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
-def shred(df: DataFrame, doc_key: str, document: str, patterns: tuple[Pattern, ...] | None = None) -> DataFrame:
-    """doc_key and one bridge row for each occurrence of a node: BRIDGE's columns; only of those that match a pattern, if given.
 
-    parent is null for the document itself. captures holds what KEY and ENTRY steps met; without patterns, the whole path.
-    value is the scalar; of a text that holds a document, that text. Runs within partitions, without a shuffle.
-    """
+class Merkle:
+    """Documents to rows of STORE: root(text) gives the document's own row and appends the bridge rows not written lately."""
+
+    def __init__(self) -> None:
+        self.texts: dict[str, tuple | None] = {}
+        self.size = 0
+        self.written: set[str] = set()
+
+    def root(self, text: str, out: list[tuple]) -> tuple | None:
+        """node, enters, kind, value, children of the document; None if it isn't complete."""
+        if text in self.texts:
+            return self.texts[text]
+        try:
+            got = self._stored(parse(text), out)
+        except ValueError:
+            got = None
+        self.size += len(text) + 200
+        if self.size > MEMO_BYTES:
+            self.texts.clear()
+            self.size = len(text)
+        if len(self.written) > MEMO_NODES:
+            self.written.clear()
+        self.texts[text] = got
+        return got
+
+    def _stored(self, doc: object, out: list[tuple]) -> tuple:
+        """The identity of a document, from its leaves up. A frame holds an open container: the text it was encoded in, its kind,
+        the places and values of its members, and what has come of those that are done."""
+        frames: list[tuple[str | None, str, list, list]] = []
+        v: object = doc
+        while True:
+            raw = None
+            if isinstance(v, str) and (inner := _embedded(v)) is not None:
+                raw, v = v, inner
+            if isinstance(v, dict):
+                frames.append((raw, "object", [(_clean(k), v[k]) for k in sorted(v)], []))
+                done = None
+            elif isinstance(v, list):
+                frames.append((raw, "list", [(str(i), x) for i, x in enumerate(v)], []))
+                done = None
+            else:
+                kind, value = _scalar(v)
+                done = (_digest(kind, value), None, kind, value, 0)
+            while True:
+                if done is not None:
+                    if not frames:
+                        return done
+                    frames[-1][3].append(done)
+                raw, kind, members, ids = frames[-1]
+                if len(ids) < len(members):
+                    v = members[len(ids)][1]
+                    break
+                frames.pop()
+                done = self._container(raw, kind, members, ids, out)
+
+    def _container(self, raw: str | None, kind: str, members: list, ids: list, out: list[tuple]) -> tuple:
+        keyed = kind == "object"
+        node = _digest(kind, "\0".join(f"{n}\0{x[0]}" for (n, _), x in zip(members, ids)) if keyed else "\0".join(x[0] for x in ids))
+        if node not in self.written:
+            self.written.add(node)
+            out += [(node, i, place, keyed, *x) for i, ((place, _), x) in enumerate(zip(members, ids))]
+        if raw is None:
+            return node, node, kind, None, len(members)
+        text = _clean(raw)
+        return _digest("encoded", text), node, "encoded", text, len(members)
+
+
+def shred(df: DataFrame, doc_key: str, documents: dict[str, Column]) -> DataFrame:
+    """doc_key and rows of STORE of the documents in the named columns, in one pass without a shuffle. A bridge row may come more
+    than once, from tasks that don't know of each other: see stored()."""
     key_type = dict(df.dtypes)[doc_key]
-    names = [x.split()[0] for x in BRIDGE.split(", ")]
-    types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    columns = list(documents)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shredder = Shredder(patterns)
+        merkle = Merkle()
         for batch in batches:
-            at, cols = [], [[] for _ in names]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for row in shredder.rows(text):
-                    at.append(i)
-                    for col, x in zip(cols, row):
-                        col.append(x)
+            at: list = []
+            rows: list[tuple] = []
+            for c, name in enumerate(columns):
+                for i, text in enumerate(batch.column(c + 1).to_pylist()):
+                    if not text:
+                        continue
+                    first = len(rows)
+                    root = merkle.root(text, rows)
+                    rows[first:] = [(None, *r) for r in rows[first:]]
+                    at += [None] * (len(rows) - first)
+                    if root is not None:
+                        rows.append((name, None, None, None, None, *root))
+                        at.append(i)
+            cols = list(zip(*rows)) if rows else [[] for _ in _NAMES]
             key = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([key, *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_key", *names])
-
-    flat = df.select(F.col(doc_key).alias("k"), F.col(document).alias("d")).where(F.col("d").isNotNull() & (F.col("d") != ""))
-    return flat.mapInArrow(work, f"doc_key {key_type}, {BRIDGE}")
-
-
-def nodes(bridge: DataFrame) -> DataFrame:
-    """Each distinct object, list and scalar of a bridge once, with the number of its occurrences."""
-    return bridge.groupBy("node").agg(F.first("kind").alias("kind"), F.first("children").alias("children"), F.first("value").alias("value"), F.count(F.lit(1)).alias("occurrences"))
-
-
-# What the tables of the lab hold: each pattern is a flat relation.
-
-PATCH = (
-    Pattern("model", ("model", "type")),
-    Pattern("model", ("model.type",)),
-    Pattern("model_list", ("model", ENTRY, "type")),
-    Pattern("model_list", ("model", "type", ENTRY)),
-)
-CHAMPIONS = (
-    Pattern("by_family", (KEY, "candidate_id")),
-    Pattern("listed_id", (ENTRY, "candidate_id")),
-    Pattern("listed_family", (ENTRY, "family")),
-)
-ARCHIVE = (
-    Pattern("global", ("global", ENTRY, "candidate_id")),
-    Pattern("family", ("families", KEY, ENTRY, "candidate_id")),
-    Pattern("global_test", ("global", ENTRY, "prediction_scores", KEY)),
-    Pattern("family_test", ("families", KEY, ENTRY, "prediction_scores", KEY)),
-    Pattern("global_decisive", ("global", ENTRY, "prediction_scores", KEY, "decisive")),
-    Pattern("family_decisive", ("families", KEY, ENTRY, "prediction_scores", KEY, "decisive")),
-)
+            yield pa.RecordBatch.from_arrays([key, *[pa.array(c, t) for c, t in zip(cols, _TYPES)]], ["doc_key", *_NAMES])
+
+    flat = df.select(F.col(doc_key).alias("k"), *[c.alias(f"d{i}") for i, c in enumerate(documents.values())])
+    return flat.where(" or ".join(f"d{i} <> ''" for i in range(len(columns)))).mapInArrow(work, f"doc_key {key_type}, {STORE}")
+
+
+class Documents:
+    """The store of some documents: `roots` (doc_key, column, node, enters, kind, value, children), one row for each document, and
+    `bridge` (parent, ordinal, place, keyed, node, enters, kind, value, children), one row for each member of a distinct container."""
+
+    def __init__(self, df: DataFrame, doc_key: str, documents: dict[str, Column]):
+        rows, _ = materialize(shred(df, doc_key, documents), "merkle")
+        self.roots = rows.where("parent is null").select("doc_key", "column", "node", "enters", "kind", "value", "children")
+        rest = _NAMES[3:]
+        bridge = rows.where("parent is not null").groupBy("parent", "ordinal").agg(F.first(F.struct(*rest)).alias("x"))
+        self.bridge, _ = materialize(bridge.select("parent", "ordinal", "x.*"), "bridge")
+
+    def start(self, column: str) -> DataFrame:
+        """The distinct containers that documents of a column open with: root, at (where the walk stands) and captures."""
+        return self.roots.where((F.col("column") == column) & (F.col("children") > 0)).select(F.col("enters").alias("root")).distinct().select("root", F.col("root").alias("at"), F.array().cast("array<string>").alias("captures"))
+
+    def walk(self, here: DataFrame, *path: str | Step) -> DataFrame:
+        """here moved along a path of keys, KEY and ENTRY steps, which capture the place. The last node's enters, kind, value and
+        children come along, and its parent."""
+        for step in path:
+            fits = F.col("keyed") if step is KEY else ~F.col("keyed") if step is ENTRY else F.col("keyed") & (F.col("place") == step)
+            to = self.bridge.where(fits).select(F.col("parent").alias("_at"), F.col("place").alias("_place"), *[F.col(c).alias(f"_{c}") for c in ("enters", "kind", "value", "children")])
+            rest = [c for c in here.columns if c not in ("at", "captures", "parent", "kind", "value", "children")]
+            caught = F.concat("captures", F.array("_place")) if isinstance(step, Step) else F.col("captures")
+            moved = here.where(F.col("at").isNotNull()).join(to, F.col("at") == F.col("_at"))
+            here = moved.select(*rest, caught.alias("captures"), F.col("_at").alias("parent"), F.col("_enters").alias("at"), *[F.col(f"_{c}").alias(c) for c in ("kind", "value", "children")])
+        return here
+
+    def found(self, column: str, rows: DataFrame) -> DataFrame:
+        """Rows of distinct roots (root, child_key, found_text) at each document of the column: doc_key, child_key, found_text.
+        A root shared by many documents is sent to several tasks."""
+        per = rows.groupBy("root").agg(F.collect_set(F.struct("child_key", "found_text")).alias("l"))
+        docs = self.roots.where((F.col("column") == column) & (F.col("children") > 0)).select("doc_key", "enters")
+        both = lookup_join(docs, per, "enters", "root", hot_keys(docs, "enters"))
+        return both.select("doc_key", F.explode("l").alias("x")).select("doc_key", "x.*")
+
+    def nodes(self) -> DataFrame:
+        """Each distinct object, list, encoded text and scalar once: node, kind, children, value, the number of documents that it is
+        the root of and of bridge rows that lead to it."""
+        own = self.roots.select("node", "kind", "children", "value", F.lit(1).alias("d"), F.lit(0).alias("p"))
+        every = own.unionByName(self.bridge.select("node", "kind", "children", "value", F.lit(0).alias("d"), F.lit(1).alias("p")))
+        first = F.first(F.struct("kind", "children", "value"))
+        return every.groupBy("node").agg(first.alias("x"), F.sum("d").alias("n_documents"), F.sum("p").alias("n_places")).select("node", "x.*", "n_documents", "n_places")
+
+
+def lab_documents(candidates: DataFrame, frontier: DataFrame) -> tuple[Documents, Documents]:
+    """The stores of candidates.config_patch and stability, and of frontier.family_champions and elite_archive."""
+    patches = Documents(candidates, "seq", {"config_patch": F.col("config_patch"), "stability": F.to_json("stability")})
+    return patches, Documents(frontier, "snapshot_id", {"family_champions": F.col("family_champions"), "elite_archive": F.col("elite_archive")})
 
 
 def _relation(rel: str, parent: Column, child: Column, text: Column) -> list[Column]:
@@ -189,28 +333,49 @@ def _relation(rel: str, parent: Column, child: Column, text: Column) -> list[Col
 
 
 def lab_relations(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
-    """rel, parent_key, child_key, found_text of the model types, run counts, champions, archive entries and their tests."""
-    rule, caught, is_text = F.col("rule"), F.col("captures"), F.col("kind") == "string"
-    text_or_document = F.when(F.col("kind").isin("object", "list"), F.col("value")).when(is_text, F.col("value"))
-
-    patch = shred(candidates, "seq", "config_patch", PATCH)
-    model = patch.select(*_relation("model", F.col("doc_key"), F.when(rule == "model_list", caught[0]).otherwise("0"), text_or_document))
-    runs = candidates.select("seq", F.col("stability.runs").alias("runs")).where("runs is not null")
-    stability = runs.select(*_relation("stability", F.col("seq"), F.lit("runs"), F.col("runs").cast("string")))
-
-    champions = shred(frontier, "snapshot_id", "family_champions", CHAMPIONS).where(is_text)
-    by_family = champions.where(rule == "by_family").select(*_relation("family_champion", F.col("doc_key"), caught[0], F.col("value")))
-    listed = champions.where(rule != "by_family").groupBy("doc_key", "parent", caught[0].alias("entry")).agg(F.max(F.when(rule == "listed_id", F.col("value"))).alias("id"), F.max(F.when(rule == "listed_family", F.col("value"))).alias("family"))
-    listed = listed.select(*_relation("family_champion", F.col("doc_key"), F.col("family"), F.col("id"))).where("child_key is not null")
-
-    archive = shred(frontier, "snapshot_id", "elite_archive", ARCHIVE)
-    of_family = rule.startswith("family")
-    entry = F.when(of_family, F.concat(F.lit("families/"), caught[0], F.lit("/"), caught[1])).otherwise(F.concat(F.lit("global/"), caught[0]))
-    elite = archive.where(rule.isin("global", "family") & is_text).select(*_relation("elite", F.col("doc_key"), entry, F.col("value")))
-    test = archive.where(rule.endswith("_test") | rule.endswith("_decisive"))
-    node = F.when(rule.endswith("_test"), F.col("node")).otherwise(F.col("parent"))
-    test = test.groupBy("doc_key", node.alias("test_node"), entry.alias("entry"), F.when(of_family, caught[2]).otherwise(caught[1]).alias("test")).agg(F.max(F.when(rule.endswith("_decisive") & (F.col("kind") == "boolean"), F.col("value"))).alias("decisive"))
-    tests = test.select(*_relation("elite_test", F.concat_ws("/", F.col("doc_key").cast("string"), "entry"), F.col("test"), F.coalesce("decisive", F.lit(""))))
-
-    out = model.unionByName(stability).unionByName(by_family).unionByName(listed).unionByName(elite).unionByName(tests)
-    return out.where(F.col("found_text").isNotNull() & F.col("parent_key").isNotNull()).distinct()
+    """rel, parent_key, child_key, found_text of the model types, run counts, champions, archive entries and their tests, walked
+    along the bridge from each distinct root and then set at each document."""
+    patches, fronts = lab_documents(candidates, frontier)
+    caught, value = F.col("captures"), F.col("value")
+    text = F.col("kind").isin("string", "encoded")
+    first = F.coalesce(F.try_element_at("captures", F.lit(1)), F.lit("0"))
+
+    def rows(df: DataFrame, child: Column, found: Column = value) -> DataFrame:
+        return df.select("root", child.alias("child_key"), found.alias("found_text")).where("child_key is not null and found_text is not null")
+
+    start = patches.start("config_patch")
+    model = patches.walk(start, "model")
+    types = patches.walk(model, "type")
+    listed = patches.walk(types, ENTRY).unionByName(patches.walk(model, ENTRY, "type"))
+    every = types.unionByName(patches.walk(start, "model.type")).unionByName(listed)
+    out = [patches.found("config_patch", rows(every.where(text), first)).select(*_relation("model", F.col("doc_key"), F.col("child_key"), F.col("found_text")))]
+
+    runs = patches.walk(patches.start("stability"), "runs").where("kind = 'number'")
+    out.append(patches.found("stability", rows(runs, F.lit("runs"))).select(*_relation("stability", F.col("doc_key"), F.col("child_key"), F.col("found_text"))))
+
+    start = fronts.start("family_champions")
+    by_family = rows(fronts.walk(start, KEY, "candidate_id").where(text), caught[0])
+    entry = fronts.walk(start, ENTRY)
+    names = fronts.walk(entry, "family").where(text).select("root", F.col("captures").alias("c"), F.col("value").alias("family"))
+    ids = fronts.walk(entry, "candidate_id").where(text).join(names.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & (F.col("captures") == F.col("c")))
+    champions = by_family.unionByName(rows(ids, F.col("family")))
+    out.append(fronts.found("family_champions", champions).select(*_relation("family_champion", F.col("doc_key"), F.col("child_key"), F.col("found_text"))))
+
+    start = fronts.start("elite_archive")
+    every = fronts.walk(start, "global", ENTRY).withColumn("captures", F.concat(F.array(F.lit("global")), caught))
+    entry = every.unionByName(fronts.walk(start, "families", KEY, ENTRY).withColumn("captures", F.concat(F.array(F.lit("families")), caught)))
+    entry = entry.withColumn("captures", F.array(F.array_join("captures", "/")))
+    elite = rows(fronts.walk(entry, "candidate_id").where(text), caught[0])
+    out.append(fronts.found("elite_archive", elite).select(*_relation("elite", F.col("doc_key"), F.col("child_key"), F.col("found_text"))))
+
+    # a test's flag is read once for each distinct test
+    flag = fronts.bridge.where("keyed and place = 'decisive' and kind = 'boolean'").select(F.col("parent").alias("flagged"), F.col("value").alias("decisive"))
+    tests = fronts.walk(entry, "prediction_scores", KEY).drop("parent").join(flag, F.col("at") == F.col("flagged"), "left")
+    tests = rows(tests, F.struct(caught[0].alias("entry"), caught[1].alias("test")), F.coalesce("decisive", F.lit("")))
+    entry_key = F.concat_ws("/", F.col("doc_key").cast("string"), F.col("child_key.entry"))
+    out.append(fronts.found("elite_archive", tests).select(*_relation("elite_test", entry_key, F.col("child_key.test"), F.col("found_text"))))
+
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole.where("parent_key is not null").distinct()

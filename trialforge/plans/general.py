@@ -57,9 +57,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.lab_relations(table(spark, d, "candidates"), table(spark, d, "frontier"))
 
 
+def _stores(spark: SparkSession, d: str) -> tuple[nested.Documents, nested.Documents]:
+    return nested.lab_documents(table(spark, d, "candidates"), table(spark, d, "frontier"))
+
+
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct object, list and scalar of all patches once, with its occurrences."""
-    return nested.nodes(nested.shred(table(spark, d, "candidates"), "seq", "config_patch"))
+    """Each distinct object, list and scalar of all documents once, with the documents that open with it and the places that it is in."""
+    patches, fronts = _stores(spark, d)
+    both = patches.nodes().unionByName(fronts.nodes()).groupBy("node").agg(F.first(F.struct("kind", "children", "value")).alias("x"), F.sum("n_documents").alias("n_documents"), F.sum("n_places").alias("n_places"))
+    return both.select("node", "x.*", "n_documents", "n_places")
+
+
+def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """The members of each distinct object and list, with place and ordinal."""
+    patches, fronts = _stores(spark, d)
+    names = ["parent", "ordinal", "place", "node", "kind"]
+    return patches.bridge.select(names).unionByName(fronts.bridge.select(names)).distinct()
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The root of each document: where the walks along the bridge start."""
+    patches, fronts = _stores(spark, d)
+    return patches.roots.select("column", "doc_key", "node").unionByName(fronts.roots.select("column", "doc_key", "node")).distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +111,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.lab_top(table(spark, d, "candidates"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_score_versions, p1_description_versions, p1_change_rates, p2_found, p2_nodes, p3_found, p3_counts, p4_found, p4_paths, p4_descendants, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_score_versions, p1_description_versions, p1_change_rates, p2_found, p2_nodes, p2_bridge, p2_documents, p3_found, p3_counts, p4_found, p4_paths, p4_descendants, p5_found)}
 
 _ID, _STATUS, _FAMILY = sql_folded("candidate_id"), sql_folded("status"), sql_folded("family")
 _DATED = f"coalesce({_ID}, '') <> '' AND updated_at IS NOT NULL AND created_at IS NOT NULL AND updated_at >= created_at"
