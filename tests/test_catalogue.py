@@ -40,7 +40,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows([r.asDict() for r in df.collect()], sorted(df.columns)) == rows(want, sorted(df.columns))
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLE and n != "p2_found"])
+@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLE])
 def test_query_without_sql_runs(spark, name):
     df = catalogue.QUERIES[name](spark, FOLDER)
     assert df.columns and df.count() > 0

@@ -165,6 +165,35 @@ found AS (
     coalesce(strftime(ref_at AT TIME ZONE 'UTC', '%Y-%m'), 'unknown') AS ref_month
   FROM refs LEFT JOIN dim ON ref_id = id WHERE coalesce(ref_id, '') <> '')"""
 
+def _decoded(j: str) -> str:
+    """The JSON that a JSON text holds, where it holds some."""
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' AND json_valid({j} ->> '$') THEN CAST({j} ->> '$' AS JSON) ELSE {j} END"
+
+
+_NESTED = f"""
+WITH whole AS (
+  SELECT 'config_patch' AS col, seq AS k, config_patch AS t FROM candidates UNION ALL SELECT 'family_champions', snapshot_id, family_champions FROM frontier
+  UNION ALL SELECT 'elite_archive', snapshot_id, elite_archive FROM frontier),
+docs AS (SELECT DISTINCT col, k, {_decoded("j")} AS j FROM (SELECT col, k, CAST(t AS JSON) AS j FROM whole WHERE t <> '' AND json_valid(t))),
+models AS (SELECT k, {_decoded("j")} AS m FROM (SELECT k, json_extract(j, '$.model') AS j FROM docs WHERE col = 'config_patch' AND json_type(j) = 'OBJECT')),
+patched AS (
+  SELECT k, '0' AS child, json_extract(m, '$.type') AS v FROM models WHERE json_type(m) = 'OBJECT'
+  UNION ALL SELECT k, key, json_extract({_decoded("j")}, '$.type') FROM (SELECT k, e.key, e.value AS j FROM models, json_each(m) e WHERE json_type(m) = 'ARRAY')
+  UNION ALL SELECT k, '0', json_extract(j, '$."model.type"') FROM docs WHERE col = 'config_patch' AND json_type(j) = 'OBJECT'),
+champions AS (
+  SELECT k, e.key AS family, json_extract(e.value, '$.candidate_id') AS v FROM docs, json_each(j) e WHERE col = 'family_champions' AND json_type(j) = 'OBJECT'
+  UNION ALL SELECT k, e.value ->> '$.family', json_extract(e.value, '$.candidate_id') FROM docs, json_each(j) e WHERE col = 'family_champions' AND json_type(j) = 'ARRAY'),
+lists AS (
+  SELECT k, 'global' AS place, json_extract(j, '$.global') AS l FROM docs WHERE col = 'elite_archive' AND json_type(j) = 'OBJECT'
+  UNION ALL SELECT k, 'families/' || e.key, e.value FROM (SELECT k, json_extract(j, '$.families') AS f FROM docs WHERE col = 'elite_archive' AND json_type(j) = 'OBJECT'), json_each(f) e WHERE json_type(f) = 'OBJECT'),
+entries AS (SELECT k, place || '/' || e.key AS child, e.value AS e FROM lists, json_each(l) e WHERE json_type(l) = 'ARRAY'),
+tests AS (SELECT k, child, t.key AS test, json_extract(t.value, '$.decisive') AS v FROM (SELECT k, child, json_extract(e, '$.prediction_scores') AS s FROM entries), json_each(s) t WHERE json_type(s) = 'OBJECT')
+SELECT 'model' AS rel, CAST(k AS VARCHAR) AS parent_key, CAST(child AS VARCHAR) AS child_key, v ->> '$' AS found_text FROM patched WHERE json_type(v) = 'VARCHAR'
+UNION SELECT 'stability', CAST(seq AS VARCHAR), 'runs', CAST(stability.runs AS VARCHAR) FROM candidates WHERE stability.runs IS NOT NULL
+UNION SELECT 'family_champion', CAST(k AS VARCHAR), family, v ->> '$' FROM champions WHERE json_type(v) = 'VARCHAR' AND family IS NOT NULL
+UNION SELECT 'elite', CAST(k AS VARCHAR), child, json_extract_string(e, '$.candidate_id') FROM entries WHERE json_type(json_extract(e, '$.candidate_id')) = 'VARCHAR'
+UNION SELECT 'elite_test', k || '/' || child, test, CASE WHEN json_type(v) = 'BOOLEAN' THEN v ->> '$' ELSE '' END FROM tests"""
+
 _TREE = f"""
 WITH RECURSIVE link AS (
   SELECT {_ID} AS id, max({sql_folded("list_filter(parent_ids, lambda p: coalesce(" + sql_folded('p') + ", '') <> '')[1]")}) AS p
@@ -182,6 +211,7 @@ ORACLE = {
     "p1_score_versions": _versions_sql(_ONE_SCORES),
     "p1_description_versions": _versions_sql(_ONE_TEXTS),
     "p1_change_rates": _CHANGE_RATES,
+    "p2_found": _NESTED,
     "p3_found": f"WITH {_REFS} SELECT src, src_key, ref_id, kind, ref_month FROM found WHERE kind IS NOT NULL",
     "p3_counts": f"WITH {_REFS} SELECT src, kind, ref_month, count(*) AS n_orphans FROM found WHERE kind IS NOT NULL GROUP BY ALL",
     "p4_found": f"""{_TREE}{_PAIRS},
