@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 from trialforge.functions import bloom
-from trialforge.operators.orphans import lab_orphans, orphan_counts
+from trialforge.operators.orphans import lab_orphans, orphan_counts, orphan_references
 from pyspark.sql import functions as F
 
 T = datetime(2026, 3, 1)
@@ -52,7 +52,15 @@ def test_hot_reference(spark):
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     words = bloom.build(keys, "h", bloom.bits_for(20_000))
-    hit = spark.range(40_000).select("id", bloom.may_contain(spark, words, F.xxhash64("id")).alias("m")).groupBy((F.col("id") < 20_000).alias("there")).agg(F.count_if("m").alias("n")).collect()
+    hit = spark.range(40_000).select("id", bloom.may_contain(spark.sparkContext.broadcast(words), F.xxhash64("id")).alias("m")).groupBy((F.col("id") < 20_000).alias("there")).agg(F.count_if("m").alias("n")).collect()
     n = {r.there: r.n for r in hit}
     assert n[True] == 20_000 and n[False] < 800
     assert bloom.bits_for(10**12) == bloom.MAX_BITS
+
+
+def test_more_keys_than_one_filter_serves(spark):
+    keys = spark.range(3_000).select(F.concat(F.lit("k"), "id").alias("id"), F.lit(T).alias("first_seen"), F.lit(None).cast("timestamp").alias("first_removed"))
+    refs = spark.range(9_000).select(F.lit("s").alias("src"), F.col("id").cast("string").alias("src_key"), F.concat(F.lit("k"), F.col("id") % 6_000).alias("ref_id"), F.lit(day(1)).alias("at"))
+    assert bloom.ranges_for(3_000, 1 << 13) == 4 and bloom.ranges_for(3_000) == 1
+    whole, split = ({tuple(r) for r in orphan_references(refs, keys, most).collect()} for most in (bloom.MAX_BITS, 1 << 13))
+    assert whole == split and len(whole) == 3_000

@@ -23,14 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and returns the table read back, with its path.
+def materialize(df: DataFrame, tag: str, parts: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder and returns the table read back, with its path; parts are columns that split it into folders.
 
     The table survives the loss of executors and makes values such as partition numbers stable.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -1,7 +1,8 @@
 """References to records that do not exist, were deleted before or came only later.
 
-A Bloom filter of all existing keys, broadcast with a fixed bound, proves most orphans at once; only references that pass it are
-verified by an exact join, which also brings the times that tell deleted and late records.
+A Bloom filter of all existing keys, broadcast with a fixed bound, proves most orphans at once; more keys than a filter of that
+size serves are split into hash ranges with a filter each. Only references that pass are verified by an exact join, which also brings
+the times that tell deleted and late records. Repeats are dropped from the orphans found, which are few, not from the references.
 
 Defined results: null and blank references are none; a reference without a time can only be missing, in the period `unknown`;
 repeated references count once; without any existing key every reference is missing.
@@ -18,13 +19,36 @@ from trialforge.functions.skew import hot_keys, lookup_join
 from trialforge.functions.text import folded, present
 
 
-def orphan_references(references: DataFrame, existing: DataFrame) -> DataFrame:
-    """Of references (src, src_key, ref_id, at) those that don't hold, with kind and ref_month; existing has one row for each
-    key: id, first_seen, first_removed."""
+def _probed(references: DataFrame, existing: DataFrame, most_bits: int) -> DataFrame:
+    """references with `maybe`: false where the filter proves that no key is equal. They are probed as they are read, without a
+    shuffle, and written once. Where the keys need more than one filter of most_bits, references are written by hash range first
+    and each range is probed with its own filter, one after the other, so that no more than one is held at a time."""
     spark = references.sparkSession
+    keys = existing.count()
+    ranges, h = bloom.ranges_for(keys, most_bits), F.xxhash64("ref_id")
+
+    def probed(part: DataFrame, own: DataFrame, n: int) -> str:
+        shared = spark.sparkContext.broadcast(bloom.build(own, "h", bloom.bits_for(n, most_bits)))
+        _, path = materialize(part.withColumn("maybe", bloom.may_contain(shared, h)), "references")
+        shared.destroy()
+        return path
+
+    if ranges == 1:
+        paths = [probed(references, existing, keys)]
+    else:
+        split, _ = materialize(references.withColumn("_range", bloom.range_of(h, ranges)), "ranges", ["_range"])
+        paths = []
+        for k in range(ranges):
+            own = existing.where(bloom.range_of(F.col("h"), ranges) == k)
+            paths.append(probed(split.where(F.col("_range") == k).select(references.columns), own, own.count()))
+    return spark.read.schema(references.withColumn("maybe", F.lit(True)).schema).parquet(*paths)
+
+
+def orphan_references(references: DataFrame, existing: DataFrame, most_bits: int = bloom.MAX_BITS) -> DataFrame:
+    """Of references (src, src_key, ref_id, at) those that don't hold, with kind and ref_month, each once; existing has one row for
+    each key: id, first_seen, first_removed."""
     existing, _ = materialize(existing.select("id", "first_seen", "first_removed", F.xxhash64("id").alias("h")), "keys")
-    words = bloom.build(existing, "h", bloom.bits_for(existing.count()))
-    references, _ = materialize(references.distinct().withColumn("maybe", bloom.may_contain(spark, words, F.xxhash64("ref_id"))), "references")
+    references = _probed(references, existing, most_bits)
     sure = references.where(~F.col("maybe")).withColumn("kind", F.lit("missing"))
     doubtful = references.where("maybe")
     joined = lookup_join(doubtful, existing.withColumn("found", F.lit(True)), "ref_id", "id", hot_keys(doubtful, "ref_id"), "left")
@@ -32,7 +56,7 @@ def orphan_references(references: DataFrame, existing: DataFrame) -> DataFrame:
     kind = F.when(F.col("found").isNull(), "missing").when(F.col("first_removed") <= at, "deleted").when(F.col("first_seen") > at, "late")
     checked = joined.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(sure.columns)
     month = F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("unknown"))
-    return sure.unionByName(checked).select("src", "src_key", "ref_id", "kind", month.alias("ref_month"))
+    return sure.unionByName(checked).select("src", "src_key", "ref_id", "kind", month.alias("ref_month")).distinct()
 
 
 def _reference(src: str, src_key: Column, ref: Column, at: Column) -> list[Column]:
@@ -57,7 +81,7 @@ def lab_existing(candidates: DataFrame, removals: DataFrame) -> DataFrame:
 
 
 def lab_orphans(candidates: DataFrame, evaluations: DataFrame, workers: DataFrame, removals: DataFrame) -> DataFrame:
-    return orphan_references(lab_references(candidates, evaluations, workers), lab_existing(candidates, removals)).distinct()
+    return orphan_references(lab_references(candidates, evaluations, workers), lab_existing(candidates, removals))
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:
