@@ -30,7 +30,7 @@ def test_matches_the_model(spark, name, given):
 def test_closure_and_paths(spark, name, given):
     nodes, paths = h.ancestor_paths(links(spark, given))
     want = {i: (root, d) for i, root, d, _, s in model.tree(given) if s == 0}
-    full = {r.candidate_id: (r.node_depth, r.node_path) for r in h.full_paths(nodes, paths).collect()}
+    full = {r.candidate_id: (r.node_depth, r.node_path) for r in h.full_paths(links(spark, given)).collect()}
     assert full.keys() == want.keys()
     for i, (d, p) in full.items():
         steps = p.split("/")

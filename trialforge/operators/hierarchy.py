@@ -5,7 +5,8 @@ themselves and doubles the jump. Subtree sizes come from the same rounds: a node
 itself to its ancestor exactly 2^k steps up. Rounds end when one resolves no node (then no chain without a ring is that long)
 and the pointers of the unresolved nodes have gathered on the rings. So there are about log2(longest chain) rounds.
 
-Nodes are numbered once; rounds carry numbers only and are written to the shared folder, each replacing the one before.
+Nodes are numbered once; rounds carry numbers, and path segments where paths are asked for, of the nodes that aren't resolved yet;
+each round is written to the shared folder.
 
 Defined results: a null or blank id is no node; a parent that is no node makes a root; a node that is its own parent is a ring;
 of several parents given for a node the greatest counts; an empty input gives empty tables.
@@ -13,10 +14,10 @@ of several parents given for a node the greatest counts; an empty input gives em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.functions.lineage import discard, materialize
+from trialforge.functions.lineage import materialize
 from trialforge.functions.skew import counted_hot_keys, hot_keys, lookup_join
 from trialforge.functions.text import folded, present
 
@@ -39,44 +40,54 @@ def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, lookup_join(child, target, "parent", "id", hot_keys(child, "parent")).select("v", "up")
 
 
-def _doubled(state: DataFrame, step: int, extra: dict, hot: list) -> DataFrame:
-    """The pointers of the nodes that are exactly `step` below their pointer's end, moved on by that end's own pointer."""
-    moving = state.where(F.col("dist") == step)
-    ends = state.select(F.col("v").alias("end"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), *[F.col(c).alias(f"{c}2") for c in extra])
-    moved = lookup_join(moving, ends, "anc", "end", hot)
-    return moved.select("v", F.col("anc2"), (F.col("dist") + F.col("dist2")).alias("dist2"), *[f(F.col(c), F.col(f"{c}2")).alias(f"{c}2") for c, f in extra.items()])
+def _one_up() -> Column:
+    return F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist")
 
 
-def _rounds(state: DataFrame, sizes: bool, extra: dict) -> tuple[DataFrame, int]:
-    """Doubles until nothing is left to resolve; state has v, anc, dist, size (with sizes) and the extra columns.
+def _rounds(start: DataFrame, extra: dict) -> tuple[DataFrame, DataFrame, int]:
+    """Doubles the pointers of start (v, anc, dist, size and the extra columns) until nothing is left to resolve: the pointers (v, anc,
+    dist, extra columns), what each node has gained (v, gain) and the last step.
 
-    A round is one small job, which counts the nodes still to resolve and finds the ends that many of them point to, and one that
-    writes the new pointers. The ends are only told apart once a round has resolved nothing.
+    A round carries and writes only the nodes that are exactly `step` below their pointer's end. All others are resolved: they stay
+    in the table of the round that resolved them, where later rounds look up the ends of pointers. So each node is in one table with
+    its last pointer, and what a round added to the sizes can be read from its table too. A round is one small job, which counts
+    the nodes still to resolve and finds the ends that many of them point to, and one that writes. The ends are only told apart
+    once a round has resolved nothing.
     """
-    spark = state.sparkSession
-    state, path = materialize(state, "pointers")
+    now, _ = materialize(start, "pointers")
+    names = ["v", "anc", "dist", *extra]
+    settled, gains = [], []
     step, before, ends = 1, None, None
     for _ in range(MOST_ROUNDS):
-        far = state.where(F.col("dist") == step)
+        far = now.where(F.col("dist") == step)
         n, hot = counted_hot_keys(far, "anc")
         if n == 0:
             break
         if n == before:
-            now = far.select("anc").distinct().count()
-            if now == ends:
+            count = far.select("anc").distinct().count()
+            if count == ends:
                 break
-            ends = now
+            ends = count
         before = n
-        nxt = state.join(_doubled(state, step, extra, hot), "v", "left")
-        kept = [F.coalesce(f"{c}2", c).alias(c) for c in ("anc", "dist", *extra)]
-        if sizes:
-            gain = far.groupBy(F.col("anc").alias("v")).agg(F.sum("size").alias("gain"))
-            nxt = nxt.join(gain, "v", "left")
-            kept.append((F.col("size") + F.coalesce("gain", F.lit(0.0))).alias("size"))
-        new, new_path = materialize(nxt.select("v", *kept), "pointers")
-        discard(spark, path)
-        state, path, step = new, new_path, step * 2
-    return state, step
+        known = now.select(names)
+        for table in settled:
+            known = known.unionByName(table)
+        known = known.select(F.col("v").alias("_end"), *[F.col(c).alias(f"_{c}") for c in names[1:]])
+        gain = far.groupBy(F.col("anc").alias("v")).agg(F.sum("size").alias("gain"))
+        joined = {c: f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in extra.items()}
+        moved = lookup_join(far, known, "anc", "_end", hot).select("v", F.col("_anc").alias("anc"), (F.col("dist") + F.col("_dist")).alias("dist"), "size", *joined.values())
+        grown = moved.join(gain, "v", "left").select(*names, (F.col("size") + F.coalesce("gain", F.lit(0.0))).alias("size"))
+        settled.append(now.where(F.col("dist") != step).select(names))
+        gains.append(far.select(F.col("anc").alias("v"), "size"))
+        now, _ = materialize(grown, "pointers")
+        step *= 2
+    state = now.select(names)
+    for table in settled:
+        state = state.unionByName(table)
+    gained = now.select("v", "size").where("false")
+    for table in gains:
+        gained = gained.unionByName(table)
+    return state, gained.groupBy("v").agg(F.sum("size").alias("gain")), step
 
 
 def hierarchy(links: DataFrame) -> DataFrame:
@@ -86,11 +97,11 @@ def hierarchy(links: DataFrame) -> DataFrame:
     n_descendants is -1 on a ring.
     """
     nodes, edges = _numbered(links)
-    start = nodes.select("v").join(edges, "v", "left").select("v", F.coalesce("up", "v").alias("anc"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.lit(1.0).alias("size"))
-    state, step = _rounds(start, True, {})
+    start = nodes.select("v").join(edges, "v", "left").select("v", F.coalesce("up", "v").alias("anc"), _one_up(), F.lit(1.0).alias("size"))
+    state, gained, step = _rounds(start, {})
     ring = state.where(F.col("dist") == step).select(F.col("anc").alias("v")).distinct().withColumn("on_ring", F.lit(True))
     out = state.join(ring, "v", "left").withColumn("cycle_state", F.when(F.col("on_ring"), 1).when(F.col("dist") == step, 2).otherwise(0).cast("long"))
-    out = out.join(nodes.select("v", "id"), "v").select(F.col("id").alias("candidate_id"), F.when(F.col("cycle_state") == 0, F.col("anc")).alias("anc"), F.when(F.col("cycle_state") == 0, F.col("dist")).otherwise(-1).alias("node_depth"), F.when(F.col("cycle_state") == 1, -1).otherwise(F.col("size") - 1).cast("long").alias("n_descendants"), "cycle_state")
+    out = out.join(gained, "v", "left").join(nodes.select("v", "id"), "v").select(F.col("id").alias("candidate_id"), F.when(F.col("cycle_state") == 0, F.col("anc")).alias("anc"), F.when(F.col("cycle_state") == 0, F.col("dist")).otherwise(-1).alias("node_depth"), F.when(F.col("cycle_state") == 1, -1).otherwise(F.coalesce("gain", F.lit(0.0))).cast("long").alias("n_descendants"), "cycle_state")
     names = nodes.join(out.select(F.col("anc").alias("v")).distinct(), "v", "left_semi").select("v", F.col("id").alias("root_id"))
     named = lookup_join(out, names, "anc", "v", hot_keys(state, "anc"), "left")
     return named.select("candidate_id", F.coalesce("root_id", F.lit("")).alias("root_id"), "node_depth", "n_descendants", "cycle_state")
@@ -100,9 +111,10 @@ def ancestor_paths(links: DataFrame, below_rings: bool = False) -> tuple[DataFra
     """nodes (v, id) and, for each node that runs into no ring, v and its ancestors' numbers from the parent up to the root; with
     below_rings also the nodes below a ring, with their ancestors up to, but without, the first one on it."""
     nodes, edges = _numbered(links)
-    start = nodes.select("v").join(edges, "v", "left").select("v", F.coalesce("up", "v").alias("anc"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.when(F.col("up").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("up")).alias("path"))
+    path = F.when(F.col("up").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("up"))
+    start = nodes.select("v").join(edges, "v", "left").select("v", F.coalesce("up", "v").alias("anc"), _one_up(), F.lit(1.0).alias("size"), path.alias("path"))
     # a node that runs into a ring carries a path as long as the jump, at most four times the longest chain; it is dropped or cut after
-    state, step = _rounds(start, False, {"path": lambda a, b: F.concat(a, b)})
+    state, _, step = _rounds(start, {"path": lambda a, b: F.concat(a, b)})
     paths = state.where(F.col("dist") != step).select("v", "path")
     if below_rings:
         far = state.where(F.col("dist") == step)
@@ -122,10 +134,11 @@ def closure(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return lookup_join(named, above, "up", "n", hot_keys(pairs, "up")).select("ancestor_id", "candidate_id", (F.col("pos") + 1).cast("long").alias("distance"))
 
 
-def full_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """candidate_id, node_depth and node_path: the ids from the root down to the node, joined by slashes."""
-    steps = closure(nodes, paths).groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor_id")), asc=False).alias("s"))
-    flat = paths.join(nodes, "v").select("id", F.size("path").cast("long").alias("node_depth"))
-    joined = flat.join(steps, flat["id"] == steps["candidate_id"], "left")
-    up = F.transform(F.coalesce("s", F.array().cast("array<struct<distance:bigint,ancestor_id:string>>")), lambda x: x["ancestor_id"])
-    return joined.select(F.col("id").alias("candidate_id"), "node_depth", F.array_join(F.concat(up, F.array("id")), "/").alias("node_path"))
+def full_paths(links: DataFrame) -> DataFrame:
+    """candidate_id, node_depth and node_path of each node that runs into no ring: the ids from the root down to the node, joined by
+    slashes. The segments between a node and its pointer's end are texts, which each round puts together with the jumps."""
+    nodes, edges = _numbered(links)
+    start = nodes.join(edges, "v", "left").select("v", F.coalesce("up", "v").alias("anc"), _one_up(), F.lit(1.0).alias("size"), F.when(F.col("up").isNotNull(), F.col("parent")).alias("above"))
+    state, _, step = _rounds(start, {"above": lambda below, above: F.concat_ws("/", above, below)})
+    named = state.where(F.col("dist") != step).join(nodes.select("v", "id"), "v")
+    return named.select(F.col("id").alias("candidate_id"), F.col("dist").alias("node_depth"), F.concat_ws("/", "above", "id").alias("node_path"))

@@ -98,7 +98,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """The full path of each candidate that runs into no ring."""
-    return hierarchy.full_paths(*hierarchy.ancestor_paths(hierarchy.first_parents(table(spark, d, "candidates"))))
+    return hierarchy.full_paths(hierarchy.first_parents(table(spark, d, "candidates")))
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
