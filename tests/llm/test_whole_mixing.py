@@ -16,7 +16,7 @@ def test_limiting_source_gets_whole_epochs():
 
 def test_a_text_as_long_as_the_gap_is_drawn(spark):
     # the first text of the order fits, the second doesn't, and the third is longer than an eighth of what is left
-    docs = spark.createDataFrame([(k, "a", n) for k, n in enumerate([40, 90, 50, 60, 70, 30, 80, 20, 45, 55])], "doc_id bigint, leaf string, n_tokens bigint")
+    docs = spark.createDataFrame([(k, "a", "", n) for k, n in enumerate([40, 90, 50, 60, 70, 30, 80, 20, 45, 55])], "doc_id bigint, leaf string, lang string, n_tokens bigint")
     for budget in range(100, 500, 80):
         leaf = Leaf("m", ("a",), 1.0, 1, 540, float(budget))
         got = {x.doc_id: x.n_tokens * x.n_repeats for x in draw(docs, [leaf]).collect()}

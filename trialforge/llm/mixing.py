@@ -1,16 +1,17 @@
 """Mixing sources to target weights by hierarchical budgets.
 
-Leaves hang in a tree (domain, language, source). Weights go down the tree; what a leaf can't hold, because it has no texts or
-because of its cap on repeats, goes to its siblings in proportion to their weights and only then to its ancestors' siblings. Each
-leaf's budget is drawn as whole epochs over its texts and a token-prefix of one more epoch in a seeded order.
-
-The prefix ends before the text that would pass the budget. As one text may be very long, the gap that remains is filled by
-prefixes of the texts that follow and are short against it; after PASSES of them the gap is a few tokens. Where it is
-more, passes over texts as long as the gap itself follow until none of them fits. Where even the whole epoch leaves a gap, as when one text makes up most of the leaf, the next epoch's prefix goes on, within the cap. Prefix sums run
-over slices of the hash order, so a leaf of any size is summed by many tasks; what reaches the driver are a few numbers a leaf.
-
-Defined results: texts without tokens (null or empty ones) are never drawn; rows of other sources don't take part; a leaf without
-texts gets nothing and is reported with its target; with no total given, the total is the largest at which every leaf that has
+Leaves hang in a tree (domain, language, source): the texts of a source in one language are a leaf, which has the part of the source's
+weight that it has of its tokens. Weights go down the tree; what a leaf can't hold, because it has no texts or because of its cap on
+repeats, goes to its siblings in proportion to their weights and only then to its ancestors' siblings. Each leaf's budget is drawn as
+whole epochs over its texts and a token-prefix of one more epoch in a seeded order.
+
+A prefix ends before the text that would pass the budget. What the prefixes of a source leave is drawn from its texts that this epoch
+hasn't used: in the seeded order, those that the rest can pay for, in prefixes again until none fits. So a source ends within its
+shortest unused text of its budget, no text is used once more before all others that fit were, and the gap is reported. Prefix sums
+run over slices of the hash order, so a leaf of any size is summed by many tasks; what reaches the driver are a few numbers a leaf.
+
+Defined results: texts without tokens (null or empty ones) are never drawn; rows of other sources don't take part; a source without
+texts gets nothing and is reported with its target; with no total given, the total is the largest at which every source that has
 texts can hold its share without passing its cap. Equal doc_ids are taken as one text's rows and drawn each.
 """
 
@@ -18,13 +19,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-PASSES, EXTRA_EPOCHS = 4, 3
-#: A gap below this part of the budget is left.
-SMALL_GAP = 0.001
 #: Budgets are products of a few doubles: within this part of whole epochs they are whole epochs.
 ROUNDING = 1e-9
 #: Targets are a configuration, not data: more leaves than this are refused.
@@ -33,7 +31,8 @@ MOST_LEAVES = 100_000
 
 @dataclass
 class Leaf:
-    """A source of a mix: its place in the tree, target share, cap on repeats and the tokens of all its texts."""
+    """The texts of a source in one language, in a mix: the place in the tree (..., language, source), target share, cap on repeats and
+    the tokens of all its texts."""
 
     mix: str
     path: tuple[str, ...]
@@ -41,8 +40,16 @@ class Leaf:
     cap: int
     tokens: int
     budget: float = 0.0
-    # for each epoch that isn't drawn whole its number and (longest text, last hash, last doc_id) of each pass
-    parts: list[tuple[int, list[tuple[int, int, int]]]] = field(default_factory=list)
+    # the prefixes of the epoch that isn't drawn whole: the longest text, the last hash and doc_id of each
+    cuts: list[tuple[int, int, int]] = field(default_factory=list)
+
+    @property
+    def source(self) -> str:
+        return self.path[-1]
+
+    @property
+    def lang(self) -> str:
+        return self.path[-2] if len(self.path) > 1 else ""
 
     @property
     def capacity(self) -> int:
@@ -108,97 +115,97 @@ def plan(leaves: list[Leaf], total: float | None = None) -> None:
                 x.budget = float(whole)  # whole epochs, but for the rounding of the shares
 
 
-_CUT = "struct<longest:bigint,h:bigint,doc_id:bigint>"
-_PLAN = f"mix_id string, leaf string, epochs bigint, epoch bigint, gap double, parts array<struct<epoch:bigint,cuts:array<{_CUT}>>>"
-
+_PLAN = "mix_id string, leaf string, lang string, epochs bigint, gap double, cuts array<struct<longest:bigint,h:bigint,doc_id:bigint>>"
+_ANY_LENGTH = 2**62
 
-def _hash(seed: int, epoch: Column) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("leaf"), epoch, F.col("doc_id"))
 
+def _planned(docs: DataFrame, leaves: list[Leaf], gaps: list[float], seed: int) -> DataFrame:
+    """The texts with their place h in the epoch's order, the state of their leaf's plan and whether a prefix has taken them. The plan
+    is broadcast: it has one row for each leaf, of which there are no more than MOST_LEAVES."""
+    rows = [(x.mix, x.source, x.lang, x.epochs, float(g), x.cuts) for x, g in zip(leaves, gaps)]
+    both = docs.join(F.broadcast(docs.sparkSession.createDataFrame(rows, _PLAN)), ["leaf", "lang"])
+    both = both.withColumn("h", F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("leaf"), F.col("epochs"), F.col("doc_id")))
+    place = F.struct("h", "doc_id")
+    return both.withColumn("taken", F.exists("cuts", lambda c: (F.col("n_tokens") <= c["longest"]) & (place <= F.struct(c["h"].alias("h"), c["doc_id"].alias("doc_id")))))
 
-def _takes(part: Column, seed: int) -> Column:
-    """Whether a pass of the epoch took the text: those up to its cut that are no longer than its limit."""
-    place = F.struct(_hash(seed, part["epoch"]).alias("h"), "doc_id")
-    return F.exists(part["cuts"], lambda c: (F.col("n_tokens") <= c["longest"]) & (place <= F.struct(c["h"].alias("h"), c["doc_id"].alias("doc_id"))))
 
-
-def _planned(docs: DataFrame, leaves: list[Leaf], gaps: list[float], epoch: list[int]) -> DataFrame:
-    """The texts with the state of their leaf's plan. The plan is broadcast: it has one row for each target."""
-    rows = [(x.mix, x.path[-1], x.epochs, epoch[i], float(gaps[i]), x.parts) for i, x in enumerate(leaves)]
-    return docs.join(F.broadcast(docs.sparkSession.createDataFrame(rows, _PLAN)), "leaf")
-
-
-def _cuts(flat: DataFrame) -> DataFrame:
-    """mix_id, leaf, h, doc_id and tokens of the longest prefix of each leaf's texts within its gap."""
-    keys = ["mix_id", "leaf", "slice"]
-    flat = flat.select("mix_id", "leaf", F.shiftright("h", 52).alias("slice"), "h", "doc_id", "n_tokens", "gap")
+def _cuts(flat: DataFrame, group: list[str]) -> DataFrame:
+    """The group, h, doc_id and tokens of the longest prefix of each group's texts within its gap."""
+    keys = [*group, "slice"]
+    flat = flat.select(*group, F.shiftright("h", 52).alias("slice"), "h", "doc_id", "n_tokens", "gap")
     sums = flat.groupBy(*keys).agg(F.sum("n_tokens").alias("s"))
-    before = F.sum("s").over(W.partitionBy("mix_id", "leaf").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum("s").over(W.partitionBy(*group).orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select(*keys, F.coalesce(before, F.lit(0)).alias("before"))
     within = F.sum("n_tokens").over(W.partitionBy(*keys).orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     run = flat.join(sums, keys).withColumn("so_far", F.col("before") + within).where(F.col("so_far") <= F.col("gap"))
-    last = run.groupBy("mix_id", "leaf").agg(F.max(F.struct("so_far", "h", "doc_id")).alias("x"))
-    return last.select("mix_id", "leaf", "x.so_far", "x.h", "x.doc_id")
+    last = run.groupBy(*group).agg(F.max(F.struct("so_far", "h", "doc_id")).alias("x"))
+    return last.select(*group, "x.so_far", "x.h", "x.doc_id")
 
 
 def draw(docs: DataFrame, leaves: list[Leaf], seed: int = 0) -> DataFrame:
-    """mix_id, leaf, doc_id, n_repeats and n_tokens of the texts that the budgets of the leaves pay for; docs has doc_id, leaf, n_tokens."""
+    """mix_id, leaf, doc_id, n_repeats and n_tokens of the texts that the budgets of the leaves pay for; docs has doc_id, leaf (the
+    source), lang and n_tokens. Sets the cuts of the leaves."""
     docs = docs.where(F.col("n_tokens") > 0)
+    # each leaf's own prefix
     gaps = [x.rest for x in leaves]
-    at = {(x.mix, x.path[-1]): i for i, x in enumerate(leaves)}
-    for extra in range(EXTRA_EPOCHS):
-        going = [i for i, x in enumerate(leaves) if x.epochs + extra < x.cap and gaps[i] >= max(1.0, SMALL_GAP * x.budget)]
-        if not going:
-            break
-        epoch = [x.epochs + extra for x in leaves]
-        for i in going:
-            leaves[i].parts.append((epoch[i], []))
-        k = 0
-        while k <= PASSES:
-            # the first pass takes any text, the next ones only texts that are short against the gap, the last ones any that it holds
-            part, least = (8, 0.0) if k < PASSES else (1, SMALL_GAP)
-            limits = {i: (2**62 if k == 0 else int(gaps[i] // part)) for i in going if gaps[i] >= max(1.0, least * leaves[i].budget)}
-            if not limits:
-                break
-            if not any(limits.values()):
-                k = PASSES
-                continue
-            limit = F.lit(2**62) if k == 0 else F.floor(F.col("gap") / part)
-            open_gaps = [g if i in limits else 0.0 for i, g in enumerate(gaps)]
-            flat = _planned(docs, leaves, open_gaps, epoch).where((F.col("gap") >= 1) & (F.col("n_tokens") <= limit))
-            flat = flat.where(~F.exists("parts", lambda p: (p["epoch"] == F.col("epoch")) & _takes(p, seed)))
-            # a row for each leaf at most
-            found = _cuts(flat.withColumn("h", _hash(seed, F.col("epoch")))).collect()
-            for r in found:
-                i = at[r["mix_id"], r["leaf"]]
-                leaves[i].parts[-1][1].append((limits[i], r["h"], r["doc_id"]))
-                gaps[i] -= r["so_far"]
-            # a pass that finds nothing leaves the limits as they are; the last ones go on until nothing fits the gap
-            if found:
-                k = min(k + 1, PASSES)
-            else:
-                k = PASSES if 0 < k < PASSES else k + 1
-    out = _planned(docs, leaves, gaps, [0] * len(leaves))
-    repeats = F.col("epochs") + F.size(F.filter("parts", lambda p: _takes(p, seed)))
-    out = out.withColumn("n_repeats", repeats.cast("long")).where(F.col("n_repeats") > 0)
-    return out.select("mix_id", "leaf", "doc_id", "n_repeats", "n_tokens")
-
-
-def leaves_of(targets: DataFrame, sizes: DataFrame, path: list[Column]) -> list[Leaf]:
-    """The leaves of targets (mix_id, leaf, target_share, max_repeats); sizes has leaf, tokens and what path needs."""
-    joined = targets.join(sizes, "leaf", "left").select("mix_id", F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in path]).alias("path"), "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    flat = _planned(docs, leaves, gaps, seed).where("gap >= 1")
+    found = {(r["mix_id"], r["leaf"], r["lang"]): r for r in _cuts(flat, ["mix_id", "leaf", "lang"]).collect()}
+    left: dict[tuple[str, str], float] = {}
+    for x, gap in zip(leaves, gaps):
+        if r := found.get((x.mix, x.source, x.lang)):
+            x.cuts.append((_ANY_LENGTH, r["h"], r["doc_id"]))
+            gap -= r["so_far"]
+        left[x.mix, x.source] = left.get((x.mix, x.source), 0.0) + gap
+    # what is left of a source, over all its leaves
+    while any(g >= 1 for g in left.values()):
+        # a leaf at its cap takes nothing more
+        gaps = [left.get((x.mix, x.source), 0.0) if x.epochs < x.cap else 0.0 for x in leaves]
+        flat = _planned(docs, leaves, gaps, seed).where(~F.col("taken") & (F.col("gap") >= F.col("n_tokens")))
+        found = {(r["mix_id"], r["leaf"]): r for r in _cuts(flat, ["mix_id", "leaf"]).collect()}
+        for x in leaves:
+            if r := found.get((x.mix, x.source)):
+                x.cuts.append((int(left[x.mix, x.source]), r["h"], r["doc_id"]))
+        left = {k: g - found[k]["so_far"] for k, g in left.items() if k in found}
+    out = _planned(docs, leaves, [0.0] * len(leaves), seed)
+    repeats = F.col("epochs") + F.col("taken").cast("long")
+    return out.withColumn("n_repeats", repeats).where(F.col("n_repeats") > 0).select("mix_id", "leaf", "doc_id", "n_repeats", "n_tokens")
+
+
+def is_small(targets: DataFrame) -> bool:
+    """Whether the targets are few enough for a plan on the driver and to be broadcast."""
+    return targets.limit(MOST_LEAVES + 1).count() <= MOST_LEAVES
+
+
+def leaves_of(targets: DataFrame, sizes: DataFrame, domains: DataFrame | None = None) -> list[Leaf]:
+    """The leaves of targets (mix_id, leaf, target_share, max_repeats); sizes has leaf, lang and tokens; domains (leaf, domain) says
+    where sources belong, without it each is a domain of its own."""
+    joined = targets.join(sizes, "leaf", "left")
+    joined = joined.join(domains, "leaf", "left") if domains is not None else joined.withColumn("domain", F.col("leaf"))
+    joined = joined.where("mix_id is not null and leaf is not null").select("mix_id", F.coalesce("domain", "leaf").alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), "leaf", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"))
     rows = joined.limit(MOST_LEAVES + 1).collect()
     if len(rows) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} targets")
-    return sorted((Leaf(r["mix_id"], tuple(r["path"]), float(r["target_share"] or 0), int(r["max_repeats"] or 0), int(r["tokens"])) for r in rows if r["mix_id"] is not None), key=lambda x: (x.mix, x.path))
+        raise ValueError(f"more than {MOST_LEAVES} leaves")
+    whole: dict[tuple[str, str], int] = {}
+    for r in rows:
+        whole[r["mix_id"], r["leaf"]] = whole.get((r["mix_id"], r["leaf"]), 0) + r["tokens"]
+
+    def part(r) -> float:
+        every = whole[r["mix_id"], r["leaf"]]
+        return float(r["target_share"] or 0) * (r["tokens"] / every if every else 1.0)
+
+    return sorted((Leaf(r["mix_id"], (r["domain"], r["lang"], r["leaf"]), part(r), int(r["max_repeats"] or 0), int(r["tokens"])) for r in rows), key=lambda x: (x.mix, x.path))
 
 
 def shares(drawn: DataFrame, leaves: list[Leaf]) -> DataFrame:
-    """For each leaf of each mix its target and actual share, the tokens drawn and there, and the texts drawn."""
+    """For each source of each mix its target and actual share, the tokens there, budgeted, drawn and left over, and the texts drawn."""
     spark = drawn.sparkSession
+    made: dict[tuple[str, str], list] = {}
+    for x in leaves:
+        row = made.setdefault((x.mix, x.source), [0.0, x.cap, 0, 0.0])
+        row[0], row[2], row[3] = row[0] + x.share, row[2] + x.tokens, row[3] + x.budget
     schema = "mix_id string, leaf string, target_share double, max_repeats bigint, available_tokens bigint, budget double"
-    wanted = spark.createDataFrame([(x.mix, x.path[-1], x.share, x.cap, x.tokens, x.budget) for x in leaves], schema)
-    got = drawn.groupBy("mix_id", "leaf").agg(F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_texts"), F.max("n_repeats").alias("most_repeats"))
-    flat = wanted.join(got, ["mix_id", "leaf"], "left").na.fill(0, ["tokens", "n_texts", "most_repeats"])
+    wanted = spark.createDataFrame([(*k, round(v[0], 12), *v[1:]) for k, v in made.items()], schema)
+    got = drawn.groupBy("mix_id", "leaf").agg(F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_texts"), F.min("n_repeats").alias("least_repeats"), F.max("n_repeats").alias("most_repeats"))
+    flat = wanted.join(got, ["mix_id", "leaf"], "left").na.fill(0, ["tokens", "n_texts", "least_repeats", "most_repeats"])
     total = F.sum("tokens").over(W.partitionBy("mix_id"))
-    return flat.withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))
+    return flat.withColumn("gap", F.col("budget") - F.col("tokens")).withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))

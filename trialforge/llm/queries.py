@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialforge.functions.lineage import materialize
 from trialforge.functions.text import folded
 from trialforge.llm import mixing, pii, tokenizer
+from trialforge.sources.files import exists
 from trialforge.sources.tables import table
 
-#: The domain that each of the lab's sources belongs to; others are their own.
-DOMAINS = {
-    "coordination_log": "log", "runner_trace": "log", "operator_chat": "log",
-    "run_finding": "finding", "audit_note": "finding", "dead_end": "finding", "research_brief": "finding",
-    "expansion_proposal": "plan", "scout_digest": "plan",
-    "config_snippet": "data", "labelled_text": "data",
-}
 SEED = 20240
 
 
@@ -34,19 +26,25 @@ def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("k.source").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def _language(lang: Column) -> Column:
+    """The base code of a language tag of two or three letters; empty for everything else, so that there are few."""
+    return F.regexp_extract(F.coalesce(folded(lang), F.lit("")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Leaf]]:
     targets = table(spark, d, "mix_targets").select("mix_id", folded("source").alias("leaf"), "target_share", "max_repeats")
-    docs = table(spark, d, "documents").select("doc_id", "text", folded("source").alias("leaf"), folded("lang").alias("lang"))
-    docs = docs.join(F.broadcast(targets.select("leaf").distinct()), "leaf", "left_semi")
+    docs = table(spark, d, "documents").select("doc_id", "text", folded("source").alias("leaf"), _language(F.col("lang")).alias("lang"))
+    wanted = targets.select("leaf").distinct()
+    docs = docs.join(F.broadcast(wanted) if mixing.is_small(targets) else wanted, "leaf", "left_semi")
     # every text is encoded once; the sums, the cuts and the drawing read the counts
     key = F.struct("doc_id", "leaf", "lang").alias("k")
     counted, _ = materialize(tokenizer.token_counts(docs.select(key, "text"), "k").select("k.*", "n_tokens"), "counts")
-    by_lang = counted.groupBy("leaf", "lang").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    sizes = by_lang.groupBy("leaf").agg(F.sum("tokens").alias("tokens"), F.max_by("lang", F.struct(F.col("lang").isNotNull(), "n", "lang")).alias("lang"))
-    domain = F.coalesce(F.create_map(*[F.lit(x) for x in chain(*DOMAINS.items())])[F.col("leaf")], F.col("leaf"))
-    leaves = mixing.leaves_of(targets, sizes, [domain, F.col("lang"), F.col("leaf")])
+    sizes = counted.groupBy("leaf", "lang").agg(F.sum("n_tokens").alias("tokens"))
+    # a table of the domains that sources belong to, where there is one
+    domains = table(spark, d, "source_domains").select(folded("source").alias("leaf"), "domain") if exists(spark, f"{d}/source_domains.parquet") else None
+    leaves = mixing.leaves_of(targets, sizes, domains)
     mixing.plan(leaves)
-    return mixing.draw(counted.select("doc_id", "leaf", "n_tokens"), leaves, SEED), leaves
+    return mixing.draw(counted, leaves, SEED), leaves
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
