@@ -1,4 +1,5 @@
 import pytest
+import unseen
 
 from trialforge.llm.pii import Finder, found, redact, redacted
 
@@ -63,3 +64,18 @@ def test_tables(spark):
     texts = [r.redacted_text for r in redacted(df).orderBy("doc_id").collect()]
     assert texts[:2] == [None, ""] and texts[-1].endswith("mail [EMAIL] end")
     assert found(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("cases, recall, precision", [(unseen.UNSEEN, 0.95, 0.95), (unseen.LATER, 0.85, 0.95)])
+def test_unseen_sentences(cases, recall, precision):
+    finder, both, wanted, given = Finder(), 0, 0, 0
+    for text, want in cases:
+        got = {(k, text[a:b]) for a, b, k, _ in finder.find(text)}
+        both, wanted, given = both + len(got & set(want)), wanted + len(set(want)), given + len(got)
+    assert both / wanted >= recall and both / given >= precision
+
+
+def test_an_address_of_any_length_is_whole():
+    street = "Upper" + "most" * 100
+    text = f"Send it to 12 {street} Road, Dunwich Falls 00123."
+    assert [(k, text[a:b]) for a, b, k, _ in Finder().find(text)] == [("address", f"12 {street} Road, Dunwich Falls 00123")]
