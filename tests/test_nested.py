@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from trialforge.operators.nested import ENTRY, KEY, Documents, _deep, lab_relations
+from trialforge.operators.nested import ENTRY, KEY, Documents, Pattern, _deep, lab_relations
 
 C = "seq bigint, config_patch string, stability struct<runs bigint, stable boolean, relative_std double>, doc_key string, rule string"
 FR = "snapshot_id bigint, family_champions string, elite_archive string, value string"
@@ -70,9 +70,9 @@ def rebuilt(store):
 
     def value(r):
         if r.kind == "object":
-            return {x.place: value(x) for x in below.get(r.enters, [])}
+            return {x.place: value(x) for x in below.get(r.inner or r.node, [])}
         if r.kind == "list":
-            return [value(x) for x in below.get(r.enters, [])]
+            return [value(x) for x in below.get(r.inner or r.node, [])]
         return r.value if r.kind in ("string", "encoded") else json.loads(r.value)
 
     return {r.doc_key: value(r) for r in store.roots.collect()}
@@ -88,7 +88,7 @@ def test_very_deep_and_very_long(spark):
     docs = [(1, "[" * 50_000 + "]" * 50_000), (2, json.dumps({"a": "x" * 2_000_000})), (3, '{"a": "\\ud800"}'), (4, deep), (5, "[" * 50_000 + "]" * 49_999), (6, "9" * 5_000)]
     store = stored(spark, docs)
     assert {r.doc_key for r in store.roots.collect()} == {1, 2, 3, 4, 6}
-    assert {(r.root, len(r.value)) for r in store.walk(store.start("d"), "a").where("value is not null").collect()} == {(r.node, n) for r in store.roots.collect() for k, n in ((2, 2_000_000), (3, 1)) if r.doc_key == k}
+    assert sorted(len(r.value) for r in store.walk((Pattern("d", "a", ("a",)),)).where("value is not null").collect()) == [1, 2_000_000]
     assert store.bridge.where("kind = 'list'").count() == 49_999 and store.bridge.where("place = 'a' and kind = 'object'").count() == 5_000
 
 
@@ -107,7 +107,14 @@ def test_the_loop_refuses_what_the_library_refuses(text):
 @pytest.mark.parametrize("path, want", [(("a", KEY), ["x", "y"]), (("a", "y", ENTRY), ["0", "1"])])
 def test_walks(spark, path, want):
     store = stored(spark, [(1, '{"a": {"x": 1, "y": [1, 2]}}')])
-    assert sorted(r.captures[-1] for r in store.walk(store.start("d"), *path).collect()) == want
+    assert sorted(r.captures[-1] for r in store.walk((Pattern("d", "p", path),)).collect()) == want
+
+
+def test_patterns_that_share_steps_keep_their_captures_apart(spark):
+    store = stored(spark, [(1, '{"a": {"x": [5]}, "b": "{\\"x\\": 2}"}')])
+    patterns = (Pattern("d", "p", ("a", "x", ENTRY)), Pattern("d", "q", (KEY, "x")), Pattern("d", "r", ("a", KEY)), Pattern("e", "s", (KEY,)))
+    got = {(r.rule, tuple(r.captures), r.kind, r.value) for r in store.walk(patterns).collect()}
+    assert got == {("p", ("0",), "number", "5"), ("q", ("a",), "list", None), ("q", ("b",), "number", "2"), ("r", ("x",), "list", None)}
 
 
 def test_a_document_in_most_rows(spark):

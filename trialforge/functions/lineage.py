@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,31 @@ def materialize(df: DataFrame, tag: str, parts: list[str] | None = None) -> tupl
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def split_by(df: DataFrame, key: str) -> DataFrame:
+    """df as bucketed() takes it: one partition for each bucket."""
+    return df.repartition(_buckets(df.sparkSession), key)
+
+
+def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """As materialize(), in buckets by key of a df that split_by() has split: joins on the key don't move the table again."""
+    spark = df.sparkSession
+    name = f"trialforge_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(_buckets(spark), key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    _written.append((spark, path))
+    return spark.table(name)
+
+
+def together(*makers: Callable) -> list:
+    """What the makers return; their jobs run side by side, so that small ones don't wait for each other."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return [x.result() for x in [pool.submit(m) for m in makers]]
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of materialize() that no plan reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

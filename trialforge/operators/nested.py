@@ -15,7 +15,9 @@ their own. A key that occurs twice in an object counts as its last. Unpaired sur
 from __future__ import annotations
 
 import json
+from base64 import b64encode
 from collections.abc import Iterator
+from dataclasses import dataclass
 from decimal import Decimal
 from enum import Enum
 from hashlib import blake2b
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.functions.lineage import materialize
+from trialforge.functions.lineage import bucketed, materialize, split_by, together
 from trialforge.functions.skew import hot_keys, lookup_join
 
 
@@ -38,9 +40,19 @@ class Step(Enum):
 
 KEY, ENTRY = Step.KEY, Step.ENTRY
 
-#: parent is null for a document's own row, which alone has doc_key and column. `enters` is the identity whose bridge rows go on
-#: below the node: its own, that of the encoded document, or null for scalars.
-STORE = "column string, parent string, ordinal bigint, place string, keyed boolean, node string, enters string, kind string, value string, children bigint"
+
+@dataclass(frozen=True)
+class Pattern:
+    """A path of object keys, KEY and ENTRY steps below the documents of a column; what it leads to comes out under the rule's name."""
+
+    column: str
+    rule: str
+    path: tuple
+
+
+#: parent is null for a document's own row, which alone has doc_key and column. `inner` is the identity of the object or list that
+#: an encoded text holds.
+STORE = "column string, parent string, ordinal bigint, place string, keyed boolean, node string, inner string, kind string, value string, children bigint"
 _NAMES = [x.split()[0] for x in STORE.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
 
@@ -178,7 +190,8 @@ def _scalar(v: object) -> tuple[str, str]:
 
 
 def _digest(kind: str, body: str) -> str:
-    return blake2b(f"{kind}\0{body}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    # 120 bits in 20 characters
+    return b64encode(blake2b(f"{kind}\0{body}".encode("utf-8", "surrogatepass"), digest_size=15).digest()).decode()
 
 
 class Merkle:
@@ -190,7 +203,7 @@ class Merkle:
         self.written: set[str] = set()
 
     def root(self, text: str, out: list[tuple]) -> tuple | None:
-        """node, enters, kind, value, children of the document; None if it isn't complete."""
+        """node, inner, kind, value, children of the document; None if it isn't complete."""
         if text in self.texts:
             return self.texts[text]
         try:
@@ -243,7 +256,7 @@ class Merkle:
             self.written.add(node)
             out += [(node, i, place, keyed, *x) for i, ((place, _), x) in enumerate(zip(members, ids))]
         if raw is None:
-            return node, node, kind, None, len(members)
+            return node, None, kind, None, len(members)
         text = _clean(raw)
         return _digest("encoded", text), node, "encoded", text, len(members)
 
@@ -278,40 +291,70 @@ def shred(df: DataFrame, doc_key: str, documents: dict[str, Column]) -> DataFram
     return flat.where(" or ".join(f"d{i} <> ''" for i in range(len(columns)))).mapInArrow(work, f"doc_key {key_type}, {STORE}")
 
 
+def _below() -> Column:
+    """Where a walk goes on below a node: its own identity, that of an encoded document, or null for scalars."""
+    return F.coalesce("inner", F.when(F.col("children") > 0, F.col("node")))
+
+
+def _fits(step: str | Step) -> Column:
+    """Whether a bridge row takes a step."""
+    return F.col("keyed") if step is KEY else ~F.col("keyed") if step is ENTRY else F.col("keyed") & (F.col("place") == step)
+
+
 class Documents:
-    """The store of some documents: `roots` (doc_key, column, node, enters, kind, value, children), one row for each document, and
-    `bridge` (parent, ordinal, place, keyed, node, enters, kind, value, children), one row for each member of a distinct container."""
+    """The store of some documents: `roots` (doc_key, column, node, inner, kind, value, children), one row for each document, and
+    `bridge` (parent, ordinal, place, keyed, node, inner, kind, value, children), one row for each member of a distinct container.
+    The bridge is bucketed by parent, so walks shuffle only where they stand."""
 
     def __init__(self, df: DataFrame, doc_key: str, documents: dict[str, Column]):
         rows, _ = materialize(shred(df, doc_key, documents), "merkle")
-        self.roots = rows.where("parent is null").select("doc_key", "column", "node", "enters", "kind", "value", "children")
+        self.roots = rows.where("parent is null").select("doc_key", "column", "node", "inner", "kind", "value", "children")
         rest = _NAMES[3:]
-        bridge = rows.where("parent is not null").groupBy("parent", "ordinal").agg(F.first(F.struct(*rest)).alias("x"))
-        self.bridge, _ = materialize(bridge.select("parent", "ordinal", "x.*"), "bridge")
-
-    def start(self, column: str) -> DataFrame:
-        """The distinct containers that documents of a column open with: root, at (where the walk stands) and captures."""
-        return self.roots.where((F.col("column") == column) & (F.col("children") > 0)).select(F.col("enters").alias("root")).distinct().select("root", F.col("root").alias("at"), F.array().cast("array<string>").alias("captures"))
-
-    def walk(self, here: DataFrame, *path: str | Step) -> DataFrame:
-        """here moved along a path of keys, KEY and ENTRY steps, which capture the place. The last node's enters, kind, value and
-        children come along, and its parent."""
-        for step in path:
-            fits = F.col("keyed") if step is KEY else ~F.col("keyed") if step is ENTRY else F.col("keyed") & (F.col("place") == step)
-            to = self.bridge.where(fits).select(F.col("parent").alias("_at"), F.col("place").alias("_place"), *[F.col(c).alias(f"_{c}") for c in ("enters", "kind", "value", "children")])
-            rest = [c for c in here.columns if c not in ("at", "captures", "parent", "kind", "value", "children")]
-            caught = F.concat("captures", F.array("_place")) if isinstance(step, Step) else F.col("captures")
-            moved = here.where(F.col("at").isNotNull()).join(to, F.col("at") == F.col("_at"))
-            here = moved.select(*rest, caught.alias("captures"), F.col("_at").alias("parent"), F.col("_enters").alias("at"), *[F.col(f"_{c}").alias(c) for c in ("kind", "value", "children")])
-        return here
-
-    def found(self, column: str, rows: DataFrame) -> DataFrame:
-        """Rows of distinct roots (root, child_key, found_text) at each document of the column: doc_key, child_key, found_text.
-        A root shared by many documents is sent to several tasks."""
-        per = rows.groupBy("root").agg(F.collect_set(F.struct("child_key", "found_text")).alias("l"))
-        docs = self.roots.where((F.col("column") == column) & (F.col("children") > 0)).select("doc_key", "enters")
-        both = lookup_join(docs, per, "enters", "root", hot_keys(docs, "enters"))
-        return both.select("doc_key", F.explode("l").alias("x")).select("doc_key", "x.*")
+        bridge = split_by(rows.where("parent is not null"), "parent").groupBy("parent", "ordinal").agg(F.first(F.struct(*rest)).alias("x"))
+        self.bridge = bucketed(bridge.select("parent", "ordinal", "x.*"), "bridge", "parent")
+
+    def walk(self, patterns: tuple[Pattern, ...]) -> DataFrame:
+        """column, root, rule, captures, parent, node, kind, value of what the patterns lead to below each distinct root. All patterns
+        take a step together: one join with the bridge for each step of the longest. captures are the places that KEY and ENTRY met."""
+        spark, columns = self.roots.sparkSession, sorted({p.column for p in patterns})
+        of_column = F.create_map(*[x for c in columns for x in (F.lit(c), F.array(*[F.lit(i) for i, p in enumerate(patterns) if p.column == c]))])
+        here = self.roots.where(F.col("column").isin(columns) & (F.col("children") > 0)).select("column", _below().alias("root")).distinct()
+        here = here.select("column", "root", F.col("root").alias("at"), of_column[F.col("column")].alias("alive"), F.array().cast("array<string>").alias("captures"))
+        found = None
+        for n in range(max(len(p.path) for p in patterns)):
+            going = [(i, p) for i, p in enumerate(patterns) if len(p.path) > n]
+            wanted = F.lit(False)
+            for step in {p.path[n] for _, p in going}:
+                wanted = wanted | _fits(step)
+            ends = [(i, p.rule) for i, p in going if len(p.path) == n + 1]
+            # what a node holds is read at the ends of patterns only
+            held = [F.col(c) if ends else F.lit(None).cast("string").alias(c) for c in ("node", "kind", "value")]
+            to = self.bridge.where(wanted).select(F.col("parent").alias("_at"), "place", "keyed", *held, _below().alias("below"))
+            both = here.where("at is not null").join(to, F.col("at") == F.col("_at"))
+            met = F.array_compact(F.array(*[F.when(F.array_contains("alive", i) & _fits(p.path[n]), F.lit(i)) for i, p in going]))
+            # a place is captured where a pattern takes a step of its kind; patterns of other kinds are told apart below
+            both = both.withColumn("met", met).where(F.size("met") > 0)
+            caught = F.array(*[F.lit(i) for i, p in going if isinstance(p.path[n], Step)]).cast("array<int>")
+            split = both.withColumn("free", F.explode(F.array(F.lit(True), F.lit(False))))
+            own = F.when(F.col("free"), F.array_intersect("met", caught)).otherwise(F.array_except("met", caught))
+            split = split.withColumn("alive", own).where(F.size("alive") > 0).withColumn("captures", F.when(F.col("free"), F.concat("captures", F.array("place"))).otherwise(F.col("captures")))
+            level, _ = materialize(split.select("column", "root", "alive", "captures", F.col("_at").alias("parent"), "node", "kind", "value", F.col("below").alias("at")), "walk")
+            if ends:
+                rules = F.create_map(*[x for i, rule in ends for x in (F.lit(i), F.lit(rule))])
+                done = level.select("*", F.explode(F.array_intersect("alive", F.array(*[F.lit(i) for i, _ in ends]))).alias("i"))
+                done = done.select("column", "root", rules[F.col("i")].alias("rule"), "captures", "parent", "node", "kind", "value")
+                found = done if found is None else found.unionByName(done)
+            here = level.select("column", "root", "at", "alive", "captures")
+        return found if found is not None else spark.createDataFrame([], "column string, root string, rule string, captures array<string>, parent string, node string, kind string, value string")
+
+    def at_documents(self, rows: DataFrame) -> DataFrame:
+        """Rows of distinct roots (column, root and others) at each document: doc_key and the others. A root that many documents share
+        is sent to several tasks; the rows of a root are those of one document."""
+        names = [c for c in rows.columns if c not in ("column", "root")]
+        per = rows.groupBy("root").agg(F.collect_set(F.struct("column", *names)).alias("l"))
+        docs = self.roots.where("children > 0").select("doc_key", F.col("column").alias("_column"), _below().alias("_root"))
+        both = lookup_join(docs, per, "_root", "root", hot_keys(docs, "_root"))
+        return both.select("doc_key", "_column", F.explode("l").alias("x")).where("_column = x.column").select("doc_key", *[F.col("x")[c].alias(c) for c in names])
 
     def nodes(self) -> DataFrame:
         """Each distinct object, list, encoded text and scalar once: node, kind, children, value, the number of documents that it is
@@ -322,60 +365,77 @@ class Documents:
         return every.groupBy("node").agg(first.alias("x"), F.sum("d").alias("n_documents"), F.sum("p").alias("n_places")).select("node", "x.*", "n_documents", "n_places")
 
 
-def lab_documents(candidates: DataFrame, frontier: DataFrame) -> tuple[Documents, Documents]:
-    """The stores of candidates.config_patch and stability, and of frontier.family_champions and elite_archive."""
-    patches = Documents(candidates, "seq", {"config_patch": F.col("config_patch"), "stability": F.to_json("stability")})
-    return patches, Documents(frontier, "snapshot_id", {"family_champions": F.col("family_champions"), "elite_archive": F.col("elite_archive")})
+# What the tables of the lab hold.
+
+PATCHES = (
+    Pattern("config_patch", "model", ("model", "type")),
+    Pattern("config_patch", "model", ("model.type",)),
+    Pattern("config_patch", "model_list", ("model", ENTRY, "type")),
+    Pattern("config_patch", "model_list", ("model", "type", ENTRY)),
+    Pattern("stability", "runs", ("runs",)),
+)
+FRONTS = (
+    Pattern("family_champions", "by_family", (KEY, "candidate_id")),
+    Pattern("family_champions", "listed_id", (ENTRY, "candidate_id")),
+    Pattern("family_champions", "listed_family", (ENTRY, "family")),
+    *(
+        Pattern("elite_archive", f"{where}_{rule}", (*start, ENTRY, *rest))
+        for where, start in (("global", ("global",)), ("family", ("families", KEY)))
+        for rule, rest in (("id", ("candidate_id",)), ("test", ("prediction_scores", KEY)), ("decisive", ("prediction_scores", KEY, "decisive")))
+    ),
+)
+
+
+def patch_documents(candidates: DataFrame) -> Documents:
+    return Documents(candidates, "seq", {"config_patch": F.col("config_patch"), "stability": F.to_json("stability")})
 
 
-def _relation(rel: str, parent: Column, child: Column, text: Column) -> list[Column]:
-    return [F.lit(rel).alias("rel"), parent.cast("string").alias("parent_key"), child.alias("child_key"), text.alias("found_text")]
+def front_documents(frontier: DataFrame) -> Documents:
+    return Documents(frontier, "snapshot_id", {"family_champions": F.col("family_champions"), "elite_archive": F.col("elite_archive")})
+
+
+def lab_documents(candidates: DataFrame, frontier: DataFrame) -> tuple[Documents, Documents]:
+    """The stores of candidates.config_patch and stability, and of frontier.family_champions and elite_archive."""
+    return together(lambda: patch_documents(candidates), lambda: front_documents(frontier))
+
+
+def _at_root(rel: str, child: Column, text: Column, entry: Column | None = None) -> list[Column]:
+    """A row of a relation at its root; entry is what a parent's key has besides the document's."""
+    return ["column", "root", F.lit(rel).alias("rel"), (F.lit(None).cast("string") if entry is None else entry).alias("entry"), child.alias("child_key"), text.alias("found_text")]
+
+
+def _of_patches(candidates: DataFrame) -> DataFrame:
+    """The model types and run counts of candidates."""
+    patches = patch_documents(candidates)
+    rule, caught, value = F.col("rule"), F.col("captures"), F.col("value")
+    found = patches.walk(PATCHES)
+    model = found.where(rule.startswith("model") & F.col("kind").isin("string", "encoded")).select(*_at_root("model", F.when(rule == "model", "0").otherwise(caught[0]), value))
+    runs = found.where((rule == "runs") & (F.col("kind") == "number")).select(*_at_root("stability", F.lit("runs"), value))
+    return patches.at_documents(model.unionByName(runs))
+
+
+def _of_fronts(frontier: DataFrame) -> DataFrame:
+    """The champions, archive entries and tests of frontier."""
+    fronts = front_documents(frontier)
+    rule, caught, value = F.col("rule"), F.col("captures"), F.col("value")
+    is_text = F.col("kind").isin("string", "encoded")
+    found = fronts.walk(FRONTS)
+    by_family = found.where((rule == "by_family") & is_text).select(*_at_root("family_champion", caught[0], value))
+    listed = found.where(rule.startswith("listed") & is_text).groupBy("column", "root", caught[0].alias("at")).agg(F.max(F.when(rule == "listed_id", value)).alias("id"), F.max(F.when(rule == "listed_family", value)).alias("family"))
+    listed = listed.where("id is not null and family is not null").select(*_at_root("family_champion", F.col("family"), F.col("id")))
+    of_family = rule.startswith("family_")
+    entry = F.when(of_family, F.concat(F.lit("families/"), caught[0], F.lit("/"), caught[1])).otherwise(F.concat(F.lit("global/"), caught[0]))
+    elite = found.where(rule.endswith("_id") & (rule != "listed_id") & is_text).select(*_at_root("elite", entry, value))
+    flag = F.when(rule.endswith("_decisive") & (F.col("kind") == "boolean"), value)
+    tests = found.where(rule.endswith("_test") | rule.endswith("_decisive")).groupBy("column", "root", entry.alias("at"), F.when(of_family, caught[2]).otherwise(caught[1]).alias("test")).agg(F.max(flag).alias("decisive"))
+    tests = tests.select(*_at_root("elite_test", F.col("test"), F.coalesce("decisive", F.lit("")), F.col("at")))
+    return fronts.at_documents(by_family.unionByName(listed).unionByName(elite).unionByName(tests))
 
 
 def lab_relations(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
     """rel, parent_key, child_key, found_text of the model types, run counts, champions, archive entries and their tests, walked
-    along the bridge from each distinct root and then set at each document."""
-    patches, fronts = lab_documents(candidates, frontier)
-    caught, value = F.col("captures"), F.col("value")
-    text = F.col("kind").isin("string", "encoded")
-    first = F.coalesce(F.try_element_at("captures", F.lit(1)), F.lit("0"))
-
-    def rows(df: DataFrame, child: Column, found: Column = value) -> DataFrame:
-        return df.select("root", child.alias("child_key"), found.alias("found_text")).where("child_key is not null and found_text is not null")
-
-    start = patches.start("config_patch")
-    model = patches.walk(start, "model")
-    types = patches.walk(model, "type")
-    listed = patches.walk(types, ENTRY).unionByName(patches.walk(model, ENTRY, "type"))
-    every = types.unionByName(patches.walk(start, "model.type")).unionByName(listed)
-    out = [patches.found("config_patch", rows(every.where(text), first)).select(*_relation("model", F.col("doc_key"), F.col("child_key"), F.col("found_text")))]
-
-    runs = patches.walk(patches.start("stability"), "runs").where("kind = 'number'")
-    out.append(patches.found("stability", rows(runs, F.lit("runs"))).select(*_relation("stability", F.col("doc_key"), F.col("child_key"), F.col("found_text"))))
-
-    start = fronts.start("family_champions")
-    by_family = rows(fronts.walk(start, KEY, "candidate_id").where(text), caught[0])
-    entry = fronts.walk(start, ENTRY)
-    names = fronts.walk(entry, "family").where(text).select("root", F.col("captures").alias("c"), F.col("value").alias("family"))
-    ids = fronts.walk(entry, "candidate_id").where(text).join(names.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & (F.col("captures") == F.col("c")))
-    champions = by_family.unionByName(rows(ids, F.col("family")))
-    out.append(fronts.found("family_champions", champions).select(*_relation("family_champion", F.col("doc_key"), F.col("child_key"), F.col("found_text"))))
-
-    start = fronts.start("elite_archive")
-    every = fronts.walk(start, "global", ENTRY).withColumn("captures", F.concat(F.array(F.lit("global")), caught))
-    entry = every.unionByName(fronts.walk(start, "families", KEY, ENTRY).withColumn("captures", F.concat(F.array(F.lit("families")), caught)))
-    entry = entry.withColumn("captures", F.array(F.array_join("captures", "/")))
-    elite = rows(fronts.walk(entry, "candidate_id").where(text), caught[0])
-    out.append(fronts.found("elite_archive", elite).select(*_relation("elite", F.col("doc_key"), F.col("child_key"), F.col("found_text"))))
-
-    # a test's flag is read once for each distinct test
-    flag = fronts.bridge.where("keyed and place = 'decisive' and kind = 'boolean'").select(F.col("parent").alias("flagged"), F.col("value").alias("decisive"))
-    tests = fronts.walk(entry, "prediction_scores", KEY).drop("parent").join(flag, F.col("at") == F.col("flagged"), "left")
-    tests = rows(tests, F.struct(caught[0].alias("entry"), caught[1].alias("test")), F.coalesce("decisive", F.lit("")))
-    entry_key = F.concat_ws("/", F.col("doc_key").cast("string"), F.col("child_key.entry"))
-    out.append(fronts.found("elite_archive", tests).select(*_relation("elite_test", entry_key, F.col("child_key.test"), F.col("found_text"))))
-
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole.where("parent_key is not null").distinct()
+    along the bridge from each distinct root and then set at each document. The two tables are walked side by side."""
+    of_patches, of_fronts = together(lambda: _of_patches(candidates), lambda: _of_fronts(frontier))
+    every = of_patches.unionByName(of_fronts.withColumn("doc_key", F.col("doc_key").cast(dict(of_patches.dtypes)["doc_key"])))
+    parent = F.concat_ws("/", F.col("doc_key").cast("string"), "entry")
+    return every.where("doc_key is not null").select("rel", parent.alias("parent_key"), "child_key", "found_text").distinct()
