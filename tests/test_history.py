@@ -4,7 +4,7 @@ import model
 from pyspark.sql import functions as F
 
 from trialforge.operators import history
-from trialforge.operators.history import appended, end_dated, satellite
+from trialforge.operators.history import appended, end_dated, satellite, versions
 
 SCHEMA = "id string, status string, at bigint, seq bigint, key string, part int, hash_diff string"
 
@@ -13,7 +13,6 @@ def run(spark, rows, monkeypatch=None, hot=None):
     df = spark.createDataFrame([(*r, "clash", 1, "x") for r in rows], SCHEMA)
     if hot is not None:
         monkeypatch.setattr(history, "hot_keys", lambda *a, **k: hot)
-        monkeypatch.setattr(history, "SLICE_US", 7)
     from trialforge.functions.text import folded, present
 
     good = df.where(present("id") & present("status"))
@@ -48,15 +47,22 @@ def test_null_attributes_are_versions_and_unchanged_rows_add_nothing(spark):
     assert [(r.at_us, r.v) for r in sat.orderBy("at_us").collect()] == [(1, None), (3, ""), (5, None)]
 
 
-def test_appending_batches_gives_the_satellite_of_all_rows(spark):
-    got = [("a", v, t, t) for t, v in enumerate("xxyyzzx")] + [("b", "q", 3, 9)]
-    df = spark.createDataFrame(got, "key string, v string, at_us bigint, seq bigint")
-    first, second = df.where("at_us < 4"), df.where("at_us >= 4")
-    build = lambda d: satellite(d, F.col("key"), F.col("at_us"), F.col("seq"), {"v": F.col("v")})[0].drop("part")
-    stored = build(first)
-    new = appended(stored, second, ["v"])
-    assert {tuple(r) for r in stored.unionByName(new).collect()} == {tuple(r) for r in build(df).collect()}
-    assert appended(stored, first, ["v"]).count() == 0
+def test_a_store_that_is_appended_to_gives_the_versions_of_the_whole_log(spark):
+    r = random.Random(3)
+    rows = [(r.choice("abc"), r.randrange(12), i, r.choice("xyz")) for i in range(120)] + [(None, 1, 500, "x"), ("a", None, 501, "x"), ("d", 4, None, "x")]
+    df = spark.createDataFrame(rows, "key string, at_us bigint, seq bigint, v string")
+    make = (F.col("key"), F.col("at_us"), F.col("seq"), {"v": F.col("v")})
+    sat, _ = satellite(df.where("seq < 40"), *make)
+    stored = sat.select("key", "at_us", "hash_diff", F.lit(0).alias("load"), "v")
+    for load, (a, b) in enumerate([(40, 60), (60, 61), (61, 600)], 1):
+        log, before = df.where(f"seq < {b}"), {tuple(x) for x in stored.collect()}
+        batch = log.where(f"seq >= {a}")
+        new = appended(stored, batch, log, *make, load)
+        stored = spark.createDataFrame(stored.unionByName(new).collect(), stored.schema)
+        assert before <= {tuple(x) for x in stored.collect()}
+        want = {(x.key, x.at_us, x.v, x.until_us) for x in end_dated(*satellite(log, *make)).collect()}
+        assert {(x.key, x.at_us, x.v, x.until_us) for x in versions(stored, {"v": None}).collect()} == want
+        assert appended(stored, batch, log, *make, load).count() == 0
 
 
 def test_change_rates(spark):

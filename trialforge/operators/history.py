@@ -14,10 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trialforge.functions.skew import hot_keys, is_hot
-
-#: Hot keys are cut into slices of this many microseconds.
-SLICE_US = 3_600_000_000
+from trialforge.functions.skew import hot_keys, is_hot, order_slices
 
 
 def hash_diff(*attributes: Column) -> Column:
@@ -25,10 +22,6 @@ def hash_diff(*attributes: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), a.cast("string")), F.lit("0")) for a in attributes]))
 
 
-def _slice(hot: list) -> Column:
-    return F.when(is_hot(F.col("key"), hot), F.floor(F.col("at_us") / SLICE_US)).otherwise(F.lit(0).cast("long"))
-
-
 def _neighbour(df: DataFrame, value: str, name: str, ahead: bool, hot: list) -> DataFrame:
     """Adds `name`: `value` (never null) of the key's next row in time, or of the one before; df has key, part and at_us.
 
@@ -50,14 +43,22 @@ def satellite(rows: DataFrame, key: Column, at_us: Column, order: Column, attrib
     """The satellite's rows (key, at_us, hash_diff, attributes) and the keys that were found hot.
 
     One shuffle brings rows of equal key and time together, after a partial aggregation; one more sorts each key's rows by time.
-    A hot key is sorted in slices of an hour.
+    A hot key is sorted in slices of time that hold about as many rows each.
     """
+    one, hot = _by_time(rows, key, at_us, order, attributes)
+    return one.where("starts").select("key", "at_us", "part", "hash_diff", *[F.col("attrs")[n].alias(n) for n in attributes]), hot
+
+
+def _by_time(rows: DataFrame, key: Column, at_us: Column, order: Column, attributes: dict[str, Column]) -> tuple[DataFrame, list]:
+    """One row for each key and time (key, at_us, hash_diff, attrs, part) with `starts`, whether it differs from the one before, and
+    the hot keys."""
     flat = rows.select(key.alias("key"), at_us.alias("at_us"), F.coalesce(order, F.lit(-(2**63))).alias("seq"), hash_diff(*attributes.values()).alias("hash_diff"), F.struct(*[c.alias(n) for n, c in attributes.items()]).alias("attrs")).where(F.col("key").isNotNull() & F.col("at_us").isNotNull())
     hot = hot_keys(flat, "key")
+    part = order_slices(flat, "key", "at_us", hot)
     one = flat.groupBy("key", "at_us").agg(F.max_by(F.struct("hash_diff", "attrs"), F.struct("seq", "hash_diff")).alias("x"))
-    one = one.select("key", "at_us", "x.hash_diff", "x.attrs", _slice(hot).alias("part"))
-    changes = _neighbour(one, "hash_diff", "before", False, hot).where(F.col("before").isNull() | (F.col("before") != F.col("hash_diff")))
-    return changes.select("key", "at_us", "part", "hash_diff", *[F.col("attrs")[n].alias(n) for n in attributes]), hot
+    one = one.select("key", "at_us", "x.hash_diff", "x.attrs", part.alias("part"))
+    seen = _neighbour(one, "hash_diff", "before", False, hot)
+    return seen.withColumn("starts", F.col("before").isNull() | (F.col("before") != F.col("hash_diff"))).drop("before"), hot
 
 
 def end_dated(sat: DataFrame, hot: list, open_end: int = -1) -> DataFrame:
@@ -65,16 +66,32 @@ def end_dated(sat: DataFrame, hot: list, open_end: int = -1) -> DataFrame:
     return _neighbour(sat, "at_us", "until_us", True, hot).withColumn("until_us", F.coalesce("until_us", F.lit(open_end))).drop("part")
 
 
-def appended(stored: DataFrame, batch: DataFrame, attributes: list[str]) -> DataFrame:
-    """The rows that a batch (key, at_us, seq, attributes) adds to a stored satellite: those whose hash-diff differs from the
-    version valid just before, among stored and new rows. Stored rows are never changed; late rows are put in by their time.
-    Only keys of the batch are read from the store."""
-    fresh = batch.withColumn("hash_diff", hash_diff(*[F.col(a) for a in attributes])).where(F.col("key").isNotNull() & F.col("at_us").isNotNull())
-    fresh = fresh.groupBy("key", "at_us").agg(F.max_by(F.struct("hash_diff", *attributes), F.struct("seq", "hash_diff")).alias("x")).select("key", "at_us", "x.*", F.lit(1).alias("new"))
-    known = stored.join(fresh.select("key").distinct(), "key", "left_semi").select("key", "at_us", "hash_diff", *attributes, F.lit(0).alias("new"))
-    w = W.partitionBy("key").orderBy("at_us", "new")
-    both = known.unionByName(fresh).withColumn("before", F.lag("hash_diff").over(w))
-    return both.where((F.col("new") == 1) & (F.col("before").isNull() | (F.col("before") != F.col("hash_diff")))).drop("before", "new")
+def appended(stored: DataFrame, batch: DataFrame, log: DataFrame, key: Column, at_us: Column, order: Column, attributes: dict[str, Column], load: int) -> DataFrame:
+    """The rows (key, at_us, hash_diff, load, attributes) that a batch of the log adds to a stored satellite; rows stored are never
+    changed. log holds all rows so far, the batch's too: of the keys that the batch touches the versions are made anew, and those are
+    added that the store hasn't, so a late row is put in by its time, and a row that it makes differ from the one before comes back.
+    Where another row now counts at a time that is stored, that row is added and counts from this load on, see current()."""
+    keys = batch.select(key.alias("_k")).where("_k is not null").distinct()
+    touched = log.withColumn("_key", key).join(keys, F.col("_key") == F.col("_k"), "left_semi")
+    one, _ = _by_time(touched, F.col("_key"), at_us, order, attributes)
+    last = current(stored, attributes).select(F.col("key").alias("_k"), F.col("at_us").alias("_at"), F.col("hash_diff").alias("_hash"))
+    both = one.join(last, (F.col("key") == F.col("_k")) & (F.col("at_us") == F.col("_at")), "left")
+    new = (F.col("starts") & F.col("_hash").isNull()) | (F.col("_hash") != F.col("hash_diff"))
+    return both.where(new).select("key", "at_us", "hash_diff", F.lit(load).alias("load"), *[F.col("attrs")[n].alias(n) for n in attributes])
+
+
+def current(stored: DataFrame, attributes: dict[str, Column]) -> DataFrame:
+    """Of a store's rows with equal key and time that of the latest load."""
+    rest = F.struct("hash_diff", *attributes)
+    return stored.groupBy("key", "at_us").agg(F.max_by(rest, "load").alias("x")).select("key", "at_us", "x.*")
+
+
+def versions(stored: DataFrame, attributes: dict[str, Column], open_end: int = -1) -> DataFrame:
+    """The view of a store that was appended to: its versions with the time until which each was valid. Rows that no longer differ from
+    the one before them are no versions."""
+    rows = current(stored, attributes)
+    sat, hot = satellite(rows, F.col("key"), F.col("at_us"), F.lit(0), {n: F.col(n) for n in attributes})
+    return end_dated(sat, hot, open_end)
 
 
 def change_rates(rows: DataFrame, key: Column, at_us: Column, order: Column, attributes: dict[str, Column]) -> DataFrame:
@@ -82,7 +99,7 @@ def change_rates(rows: DataFrame, key: Column, at_us: Column, order: Column, att
     digests = {n: hash_diff(c) for n, c in attributes.items()}
     flat = rows.select(key.alias("key"), at_us.alias("at_us"), order.alias("seq"), F.struct(*[d.alias(n) for n, d in digests.items()]).alias("d")).where(F.col("key").isNotNull() & F.col("at_us").isNotNull())
     hot = hot_keys(flat, "key")
-    one = flat.groupBy("key", "at_us").agg(F.max_by("d", F.struct("seq", "d")).alias("d")).withColumn("part", _slice(hot))
+    one = flat.groupBy("key", "at_us").agg(F.max_by("d", F.struct("seq", "d")).alias("d")).withColumn("part", order_slices(flat, "key", "at_us", hot))
     seen = _neighbour(one, "d", "before", False, hot).where(F.col("before").isNotNull())
     counts = seen.agg(F.count(F.lit(1)).alias("pairs"), *[F.count_if(F.col("d")[n] != F.col("before")[n]).alias(n) for n in attributes])
     return counts.select("pairs", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in attributes]), F.array(*[F.col(n) for n in attributes]))).alias("attribute", "changes")).select("attribute", "pairs", "changes")

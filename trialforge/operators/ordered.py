@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 
-from trialforge.functions.skew import running
+from trialforge.functions.skew import rolling, running
 
 
 def prefix_leaders(rows: DataFrame, group: str, order: str, score: Column, zero_is_missing: bool = False) -> DataFrame:
@@ -103,20 +104,21 @@ def thirds_trend(series: DataFrame, group: str, order: str, score: str, valid: s
     return out.select(group, "checkpoints", "valid_checkpoints", F.round("_first", 6).alias("first_mean"), F.round("_last", 6).alias("last_mean"), F.round(delta, 6).alias("delta"), trend.alias("trend"), "last_step")
 
 
-def z_scores(rows: DataFrame, group: list[str], order: str, score: str, window: int = 20, least: int = 5, sigma: float = 3.0, flat: float = 0.001) -> DataFrame:
+def z_scores(rows: DataFrame, group: str, order: str, score: str, window: int = 20, least: int = 5, sigma: float = 3.0, flat: float = 0.001) -> DataFrame:
     """Adds z_score and surprising: a score against the sample deviation of its group's last `window` rows, itself included. Nulls
     among them shorten the sample; fewer than `least` scores or hardly any deviation surprise nobody."""
-    w = W.partitionBy(*group).orderBy(order).rowsBetween(-(window - 1), 0)
-    n, mean, dev = F.count(score).over(w), F.avg(score).over(w), F.stddev_samp(score).over(w)
-    z = F.when((n >= least) & (dev >= flat), F.abs(F.col(score) - mean) / dev)
-    return rows.withColumn("z_score", z).withColumn("surprising", F.coalesce(F.col("z_score") > sigma, F.lit(False)))
+
+    def add(df: DataFrame, w: WindowSpec) -> DataFrame:
+        n, mean, dev = F.count(score).over(w), F.avg(score).over(w), F.stddev_samp(score).over(w)
+        return df.withColumn("z_score", F.when((n >= least) & (dev >= flat), F.abs(F.col(score) - mean) / dev))
+
+    return rolling(rows, group, order, window, add).withColumn("surprising", F.coalesce(F.col("z_score") > sigma, F.lit(False)))
 
 
 def repeated_failures(rows: DataFrame, group: str, order: str, failure: str, classes: list[str], n: int = 3) -> DataFrame:
     """Rows at which the group has failed n times in a row with one of the classes."""
-    w = W.partitionBy(group).orderBy(order).rowsBetween(-(n - 1), 0)
-    hits = F.sum(F.coalesce(F.col(failure).isin(*classes), F.lit(False)).cast("int")).over(w)
-    return rows.withColumn("_h", hits).where(F.col("_h") == n).drop("_h")
+    hit = F.coalesce(F.col(failure).isin(*classes), F.lit(False)).cast("int")
+    return rolling(rows, group, order, n, lambda df, w: df.withColumn("_h", F.sum(hit).over(w))).where(F.col("_h") == n).drop("_h")
 
 
 def trajectory_summary(series: DataFrame, group: str, order: str, score: str, valid: str) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trialforge.functions.skew import positions
+
 
 def queue_order(jobs: DataFrame) -> DataFrame:
-    """Queued jobs of each resource class in the order in which they are served."""
-    w = W.partitionBy("resource_class").orderBy("attempt", "queued_at", "seq")
-    return jobs.where(F.col("status") == "queued").withColumn("place", F.row_number().over(w))
+    """Queued jobs of each resource class in the order in which they are served. Classes are few and large: their jobs are numbered in
+    ranges of the order."""
+    return positions(jobs.where(F.col("status") == "queued"), ["resource_class"], [F.col(c) for c in ("attempt", "queued_at", "seq")], "place")
 
 
 def match_workers(jobs: DataFrame, workers: DataFrame) -> DataFrame:
@@ -18,7 +20,8 @@ def match_workers(jobs: DataFrame, workers: DataFrame) -> DataFrame:
     their class are dropped before the shuffle, as only so many places can be taken."""
     idle = workers.where(F.col("status") == "idle").withColumn("place", F.row_number().over(W.partitionBy("resource_class").orderBy("worker_id")))
     most = idle.agg(F.max("place").alias("m")).first()["m"] or 0
-    first = queue_order(jobs).where(F.col("place") <= most).select("resource_class", "place", "job_id", "candidate_id")
+    w = W.partitionBy("resource_class").orderBy("attempt", "queued_at", "seq")
+    first = jobs.where(F.col("status") == "queued").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("resource_class", "place", "job_id", "candidate_id")
     return idle.select("worker_id", "resource_class", "place").join(first, ["resource_class", "place"])
 
 
@@ -97,8 +100,8 @@ def combinations(winners: DataFrame, most: int = 16) -> DataFrame:
     subset = F.filter("w", lambda b, i: F.expr("shiftright(mask, 0)").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
     full = small.select(F.col("mask").cast("long").alias("rank"), subset.alias("members")).where(F.size("members") >= 2)
     pairs = one.where(~whole).select("w", "n", F.posexplode("w").alias("i", "a"))
-    pairs = pairs.select("w", "n", "i", "a", F.posexplode(F.slice("w", F.col("i") + 2, F.col("n"))).alias("j", "b")).select((F.col("i") * 1000 + F.col("j")).cast("long").alias("rank"), F.array("a", "b").alias("members"))
-    every = one.where(~whole).select(F.lit(10**9).cast("long").alias("rank"), F.col("w").alias("members"))
+    pairs = pairs.select("w", "n", "i", "a", F.posexplode(F.slice("w", F.col("i") + 2, F.col("n"))).alias("j", "b")).select((F.col("i").cast("long") * F.col("n") + F.col("j")).alias("rank"), F.array("a", "b").alias("members"))
+    every = one.where(~whole).select((F.col("n").cast("long") * F.col("n")).alias("rank"), F.col("w").alias("members"))
     out = full.unionByName(pairs).unionByName(every).orderBy("rank").limit(most)
     return out.withColumn("place", F.row_number().over(W.orderBy("rank"))).drop("rank")
 

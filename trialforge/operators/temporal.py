@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trialforge.functions.skew import rolling, running
+
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, tie: str) -> DataFrame:
-    """Each left row with the `value` of its key's last right row not after it: a union and one window, no join."""
+    """Each left row with the `value` of its key's last right row not after it: a union and a running last value, no join. The rows of
+    a hot key are split by time."""
     empty = F.lit(None)
     a = left.select(*left.columns, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), empty.cast("bigint").alias("_tie"), empty.cast(dict(right.dtypes)[value]).alias("_v"))
     b = right.select(*[F.col(key) if c == key else empty.cast(t).alias(c) for c, t in left.dtypes], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("bigint").alias("_tie"), F.col(value).alias("_v"))
-    w = W.partitionBy(key).orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
     # a null value of the right is a value too: a flag marks that there was a row
-    out = a.unionByName(b.where(F.col("_t").isNotNull())).withColumn("_m", F.last(F.when(F.col("_side") == 0, F.struct("_v")), ignorenulls=True).over(w))
+    both = a.unionByName(b.where(F.col("_t").isNotNull())).withColumn("_us", F.unix_micros(F.col("_t").cast("timestamp")) if dict(left.dtypes)[left_time].startswith("timestamp") else F.col("_t"))
+    out = running(both, key, "_us", F.when(F.col("_side") == 0, F.struct("_v")), "last", "_m", current=True, ties=("_side", "_tie"))
     return out.where("_side = 1").select(*left.columns, F.when(F.col("_t").isNotNull(), F.col("_m._v")).alias(value))
 
 
@@ -63,7 +66,7 @@ def gate(scores: DataFrame, score: Column, least_positive: float = 0.5) -> DataF
 
 def decay(rows: DataFrame, group: str, order: str, train: Column, test: Column, window: int) -> DataFrame:
     """test/train of each row and its mean over the group's last rows, in five bands."""
-    w = W.partitionBy(group).orderBy(order).rowsBetween(-(window - 1), 0)
-    out = rows.withColumn("ratio", F.try_divide(test, train)).withColumn("rolling_ratio", F.avg("ratio").over(w))
+    ratios = rows.withColumn("ratio", F.try_divide(test, train))
+    out = rolling(ratios, group, order, window, lambda df, w: df.withColumn("rolling_ratio", F.avg("ratio").over(w)))
     r = F.col("rolling_ratio")
     return out.withColumn("band", F.when(r > 1.1, "suspicious").when(r >= 0.9, "healthy").when(r >= 0.7, "moderate").when(r >= 0.5, "concerning").when(r.isNotNull(), "broken"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialforge.functions.lineage import materialize
 from trialforge.functions.text import folded, present, sql_folded
 from trialforge.operators import hierarchy, history, nested, orphans, topn
 from trialforge.sources.tables import table
@@ -36,6 +37,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _versions(rows, SATELLITES["status"]).select("candidate_id", "status", "valid_from_us", "valid_to_us")
 
 
+def p1_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The status versions again, from a store that is only ever appended to: a first load of the rows that arrived in the first half of the
+    log, then a batch with the rest, late rows among them."""
+    rows = _dated(table(spark, d, "candidates")).where(present("status"))
+    key, at, order, attributes = folded("candidate_id"), F.unix_micros("updated_at"), F.col("seq"), {"status": folded("status")}
+    half = rows.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    late = F.col("seq") > F.lit(half) if half is not None else F.lit(False)
+    sat, _ = history.satellite(rows.where(~F.coalesce(late, F.lit(False))), key, at, order, attributes)
+    stored, _ = materialize(sat.select("key", "at_us", "hash_diff", F.lit(1).alias("load"), *attributes), "satellite")
+    added = history.appended(stored, rows.where(late), rows, key, at, order, attributes, 2)
+    out = history.versions(stored.unionByName(added), attributes)
+    return out.select(F.col("key").alias("candidate_id"), "status", F.col("at_us").alias("valid_from_us"), F.col("until_us").alias("valid_to_us"))
+
+
 def p1_score_versions(spark: SparkSession, d: str) -> DataFrame:
     """The satellite of the scores, with the times of its versions."""
     return _versions(_dated(table(spark, d, "candidates")), SATELLITES["scores"])
@@ -111,7 +126,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.lab_top(table(spark, d, "candidates"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_score_versions, p1_description_versions, p1_change_rates, p2_found, p2_nodes, p2_bridge, p2_documents, p3_found, p3_counts, p4_found, p4_paths, p4_descendants, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_appended, p1_score_versions, p1_description_versions, p1_change_rates, p2_found, p2_nodes, p2_bridge, p2_documents, p3_found, p3_counts, p4_found, p4_paths, p4_descendants, p5_found)}
 
 _ID, _STATUS, _FAMILY = sql_folded("candidate_id"), sql_folded("status"), sql_folded("family")
 _DATED = f"coalesce({_ID}, '') <> '' AND updated_at IS NOT NULL AND created_at IS NOT NULL AND updated_at >= created_at"
@@ -208,6 +223,7 @@ pairs AS (SELECT node_depth, id, unnest(string_split(node_path, '/')) AS above,
 
 ORACLE = {
     "p1_found": _versions_sql({"status": _STATUS}, f"coalesce({_STATUS}, '') <> ''"),
+    "p1_appended": _versions_sql({"status": _STATUS}, f"coalesce({_STATUS}, '') <> ''"),
     "p1_score_versions": _versions_sql(_ONE_SCORES),
     "p1_description_versions": _versions_sql(_ONE_TEXTS),
     "p1_change_rates": _CHANGE_RATES,

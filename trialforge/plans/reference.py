@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from trialforge.functions import metrics
 from trialforge.functions.text import folded, present, sql_folded
 from trialforge.operators import configs, detectors, latest, ordered, pareto, queueing, state, temporal
-from trialforge.sources.adapters import view, view_sql
+from trialforge.sources.adapters import scored_experiments, view, view_sql
 from trialforge.sources.files import overlaid
 from trialforge.sources.tables import table
 
@@ -170,8 +170,8 @@ def objective_vector(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", metrics.missing_objectives(F.col("v")).alias("n_missing"), metrics.labelled(F.col("v"), _SPECS)["k"].alias("k_restored"), F.col("v")[2].alias("last_objective"))
 
 
-@query("""SELECT p_partkey AS part, json_object('family', p_brand, 'n', p_size) AS doc, substr(sha1('{"config_patch": {"n": ' || p_size || '}, "family": "' || p_brand || '", "operator_type": "probe", "parent_ids": ["a", "b"]}'), 1, 12) AS signature,
- p_brand || '_probe_' || substr(sha1('{"config_patch": {"n": ' || p_size || '}, "family": "' || p_brand || '", "operator_type": "probe", "parent_ids": ["a", "b"]}'), 1, 12) AS candidate_id FROM part""".replace("json_object('family', p_brand, 'n', p_size) AS doc, ", ""))
+@query("""SELECT p_partkey AS part, substr(sha1('{"config_patch": {"n": ' || p_size || '}, "family": "' || p_brand || '", "operator_type": "probe", "parent_ids": ["a", "b"]}'), 1, 12) AS signature,
+ p_brand || '_probe_' || substr(sha1('{"config_patch": {"n": ' || p_size || '}, "family": "' || p_brand || '", "operator_type": "probe", "parent_ids": ["a", "b"]}'), 1, 12) AS candidate_id FROM part""")
 def signature(spark: SparkSession, d: str) -> DataFrame:
     """Signature and id of a candidate; parents are sorted before they are signed."""
     sign = configs.signature(F.col("p_brand"), F.lit("probe"), F.format_string('{"n": %d}', "p_size"), F.array(F.lit("b"), F.lit("a")))
@@ -345,18 +345,18 @@ def budget_replenishment(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "runs").groupBy("family").agg(F.least(F.lit(30).cast("long"), (5 + more + F.min("candidate_id") % 30).cast("long")).alias("credits"))
 
 
-@query(_with(("experiments",), """ SELECT axis_branch, seq, place FROM (SELECT axis_branch, seq, row_number() OVER (PARTITION BY axis_branch ORDER BY seq DESC) AS place FROM experiments) WHERE place <= 5""").replace("place FROM (", "CAST(place AS INTEGER) AS place FROM ("))
+@query(_with(("experiments",), " SELECT axis_branch, seq, CAST(place AS INTEGER) AS place FROM (SELECT axis_branch, seq, row_number() OVER (PARTITION BY axis_branch ORDER BY seq DESC) AS place FROM experiments) WHERE place <= 5"))
 def last_five(spark: SparkSession, d: str) -> DataFrame:
     """the last five runs of each group."""
     return latest.last_n(view(spark, d, "experiments"), ["axis_branch"], "seq", 5).select("axis_branch", "seq", "place")
 
 
-@query(_with(("experiments",), """,
-p AS (SELECT axis_branch, composite_score, champion_score, row_number() OVER (PARTITION BY axis_branch ORDER BY seq DESC) AS n FROM experiments WHERE verdict IN ('PROMOTE', 'MARGINAL', 'REJECT'))
+@query(_with(("experiments", "scored"), """,
+p AS (SELECT axis_branch, composite_score, champion_score, row_number() OVER (PARTITION BY axis_branch ORDER BY seq DESC) AS n FROM scored WHERE verdict IN ('PROMOTE', 'MARGINAL', 'REJECT'))
 SELECT axis_branch, count(*) >= 8 AND bool_and(abs(composite_score - champion_score) < 2.5) AS diminishing FROM p WHERE n <= 8 GROUP BY axis_branch"""))
 def diminishing_returns(spark: SparkSession, d: str) -> DataFrame:
     """whether the last eight scored runs all came close to the champion."""
-    return detectors.diminishing(view(spark, d, "experiments"), ["axis_branch"], 8, 2.5)
+    return detectors.diminishing(scored_experiments(spark, d), ["axis_branch"], 8, 2.5)
 
 
 @query(_with(("experiments",), """,
@@ -374,7 +374,7 @@ p AS (SELECT seq, family, search_eval AS s, count(search_eval) OVER w AS n, avg(
 SELECT seq, round(CASE WHEN n >= 5 AND v >= 0.001 THEN abs(s - m) / v END, 6) AS z_score, coalesce(n >= 5 AND v >= 0.001 AND abs(s - m) / v > 3.0, false) AS surprising FROM p"""))
 def surprise_zscore(spark: SparkSession, d: str) -> DataFrame:
     """scores far from those of the last twenty runs."""
-    return ordered.z_scores(view(spark, d, "runs"), ["family"], "seq", "search_eval").select("seq", F.round("z_score", 6).alias("z_score"), "surprising")
+    return ordered.z_scores(view(spark, d, "runs"), "family", "seq", "search_eval").select("seq", F.round("z_score", 6).alias("z_score"), "surprising")
 
 
 @query(_with(("runs",), """,
@@ -388,7 +388,7 @@ def repeat_failure(spark: SparkSession, d: str) -> DataFrame:
 # --- archives and top lists ---------------------------------------------------------------------------------------------
 
 
-@query(_with(("runs",), " SELECT candidate_id, seq, place FROM (SELECT candidate_id, seq, row_number() OVER (ORDER BY nullif(selection_eval, 0) DESC NULLS LAST, seq) AS place FROM runs WHERE valid) WHERE place <= 20").replace("seq, place FROM (", "seq, CAST(place AS INTEGER) AS place FROM ("))
+@query(_with(("runs",), " SELECT candidate_id, seq, CAST(place AS INTEGER) AS place FROM (SELECT candidate_id, seq, row_number() OVER (ORDER BY nullif(selection_eval, 0) DESC NULLS LAST, seq) AS place FROM runs WHERE valid) WHERE place <= 20"))
 def elite_archive_global(spark: SparkSession, d: str) -> DataFrame:
     """G1: the twenty best promotions; a score of 0 sorts as none."""
     good = view(spark, d, "runs").where("valid")
@@ -489,7 +489,7 @@ def parent_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(a.k, b.k) AS k, b.v IS NOT NULL AS on_top, coalesce(b.v, a.v) AS v FROM (SELECT s_suppkey AS k, s_name AS v FROM supplier) a
-FULL JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""".replace("c_custkey % 3 = 0", "c_nationkey = 3"))
+FULL JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_nationkey = 3) b ON a.k = b.k""")
 def overlay_merge(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a base with those of an overlay, which wins."""
     base = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"), F.lit(False).alias("on_top"))
@@ -516,7 +516,7 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
 # --- queues and generators ----------------------------------------------------------------------------------------------
 
 
-@query(_with(("jobs",), " SELECT resource_class, job_id, CAST(row_number() OVER (PARTITION BY resource_class ORDER BY attempt, queued_at, seq) AS INTEGER) AS place FROM jobs WHERE status = 'queued'"))
+@query(_with(("jobs",), " SELECT resource_class, job_id, row_number() OVER (PARTITION BY resource_class ORDER BY attempt, queued_at, seq) AS place FROM jobs WHERE status = 'queued'"))
 def queue_order(spark: SparkSession, d: str) -> DataFrame:
     """Queued jobs in the order in which they are served."""
     return queueing.queue_order(view(spark, d, "jobs")).select("resource_class", "job_id", "place")
@@ -597,9 +597,9 @@ def _champions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return champions, compatible
 
 
-@query("""WITH ch AS (SELECT c_nationkey AS f, arg_max(c_custkey, (c_acctbal, c_custkey)) AS c FROM customer WHERE c_nationkey % 3 <> 1 GROUP BY 1),
+@query("""WITH ch AS (SELECT c_nationkey AS f, arg_max(c_custkey, c_acctbal) AS c FROM customer WHERE c_nationkey % 3 <> 1 GROUP BY 1),
 l AS (SELECT n_nationkey AS family, i AS pos, ch.c FROM nation, (SELECT unnest(range(5)) AS i), ch WHERE ch.f = (n_nationkey + i) % 25)
-SELECT a.family, a.c AS left_parent, b.c AS right_parent FROM l a JOIN l b ON a.family = b.family AND a.pos < b.pos""".replace("arg_max(c_custkey, (c_acctbal, c_custkey))", "arg_max(c_custkey, c_acctbal)"))
+SELECT a.family, a.c AS left_parent, b.c AS right_parent FROM l a JOIN l b ON a.family = b.family AND a.pos < b.pos""")
 def crossover_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The pairs of champions of compatible families."""
     return queueing.crossovers(*_champions(spark, d)).select("family", "left_parent", "right_parent")
@@ -644,7 +644,7 @@ def expansion_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT n_nationkey AS family, (n_nationkey * 7) % 11 AS credits, n_nationkey % 3 AS probes, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE (n_nationkey % 5) / 10.0 END AS champion, n_nationkey % 6 AS plateau FROM nation)
-SELECT CAST(family AS BIGINT) AS family, round(credits + CASE WHEN probes > 0 THEN 1 ELSE 0 END + coalesce(champion, 0) - 0.25 * plateau, 6) AS priority FROM f WHERE credits >= 1""".replace("round(credits", "round(CAST(credits AS DOUBLE)"))
+SELECT CAST(family AS BIGINT) AS family, round(CAST(credits AS DOUBLE) + CASE WHEN probes > 0 THEN 1 ELSE 0 END + coalesce(champion, 0) - 0.25 * plateau, 6) AS priority FROM f WHERE credits >= 1""")
 def family_priority(spark: SparkSession, d: str) -> DataFrame:
     """The priority of families that can pay."""
     return _funded(spark, d).where("credits >= 1").select("family", F.round(F.col("credits") + F.when(F.col("probes") > 0, 1.0).otherwise(0.0) + F.coalesce("champion", F.lit(0.0)) - 0.25 * F.col("plateau"), 6).alias("priority"))
@@ -797,22 +797,22 @@ _CYCLE = 84
 
 @query(_with(("branches",), f""",
 p AS (SELECT *, {_CYCLE} - last_explored_cycle >= 10 AND status = 'active' AS stale, round(0.3 * current_ev + 0.4 / sqrt(1 + n_experiments) + 0.3 * least(1.0, ({_CYCLE} - last_explored_cycle) / 3.0), 6) AS base FROM branches WHERE status NOT IN ('exhausted', 'converged') AND budget > 0)
-SELECT branch, CASE WHEN stale THEN 999.0 ELSE base END AS priority, CAST(row_number() OVER (ORDER BY stale DESC, CASE WHEN stale THEN branch END, CASE WHEN stale THEN 999.0 ELSE base END DESC, n_experiments, budget DESC, branch) AS INTEGER) AS place FROM p""".replace("THEN 999.0 ELSE base END AS priority", "THEN 999.0::DOUBLE ELSE base::DOUBLE END AS priority")))
+SELECT branch, CASE WHEN stale THEN 999.0::DOUBLE ELSE base::DOUBLE END AS priority, CAST(row_number() OVER (ORDER BY stale DESC, CASE WHEN stale THEN branch END, CASE WHEN stale THEN 999.0 ELSE base END DESC, n_experiments, budget DESC, branch) AS INTEGER) AS place FROM p"""))
 def branch_rank(spark: SparkSession, d: str) -> DataFrame:
     """Branches in the order in which they are explored."""
     return detectors.branch_priority(view(spark, d, "branches"), _CYCLE)
 
 
-@query(_with(("experiments", "branches"), f""",
+@query(_with(("experiments", "scored", "branches"), f""",
 tail AS (SELECT branch, verdict FROM experiments QUALIFY row_number() OVER (PARTITION BY branch ORDER BY seq DESC) <= 4),
 stuck AS (SELECT branch FROM tail JOIN branches USING (branch) WHERE status <> 'exhausted' AND n_experiments >= 4 GROUP BY branch HAVING count(*) >= 4 AND count(*) FILTER (WHERE verdict = 'PROMOTE') = 0),
 o AS (SELECT count(*) AS n FROM branches WHERE status NOT IN ('exhausted', 'converged') AND budget > 0 AND branch NOT IN (SELECT branch FROM stuck)),
 l AS (SELECT max(cycle) AS c FROM experiments WHERE verdict = 'PROMOTE'),
-r AS (SELECT count(*) >= 8 AND bool_and(abs(composite_score - champion_score) < 0.005) AS ok FROM (SELECT * FROM experiments ORDER BY seq DESC LIMIT 8))
+r AS (SELECT count(*) >= 8 AND bool_and(abs(composite_score - champion_score) < 0.005) AS ok FROM (SELECT * FROM scored ORDER BY seq DESC LIMIT 8))
 SELECT reason = 'converged' AS converged, reason, n_open FROM (SELECT n AS n_open, CASE WHEN n > 0 THEN 'active_branches' WHEN {_CYCLE} - c < 5 THEN 'recent_champion' WHEN NOT ok THEN 'meaningful_deltas' ELSE 'converged' END AS reason FROM o, l, r)"""))
 def convergence(spark: SparkSession, d: str) -> DataFrame:
     """Whether a lab has converged, and if not, why."""
-    return detectors.convergence(view(spark, d, "experiments"), view(spark, d, "branches"), _CYCLE)
+    return detectors.convergence(scored_experiments(spark, d), view(spark, d, "branches"), _CYCLE)
 
 
 # --- state --------------------------------------------------------------------------------------------------------------
@@ -869,7 +869,7 @@ def scout_requests(spark: SparkSession, d: str) -> DataFrame:
 # --- time ---------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT o.o_orderkey AS seq, e.value AS last_value FROM orders o ASOF LEFT JOIN (SELECT user_id, ts + INTERVAL (-1500) DAY AS ts, value, event_id FROM events) e ON o.o_custkey = e.user_id AND o.o_orderdate >= e.ts""".replace("ts + INTERVAL (-1500) DAY", "ts - INTERVAL 1500 DAY"))
+@query("""SELECT o.o_orderkey AS seq, e.value AS last_value FROM orders o ASOF LEFT JOIN (SELECT user_id, ts - INTERVAL 1500 DAY AS ts, value, event_id FROM events) e ON o.o_custkey = e.user_id AND o.o_orderdate >= e.ts""")
 def asof_join(spark: SparkSession, d: str) -> DataFrame:
     """Each order with its user's last event before it."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("at"))
@@ -908,9 +908,9 @@ def walk_forward_gate(spark: SparkSession, d: str) -> DataFrame:
     return temporal.gate(m, F.col("s")).select(F.round("positive_share", 6).alias("positive_share"), F.round("consistency", 4).alias("consistency"), "passed")
 
 
-@query(_with(("experiments",), """, r AS (SELECT seq, branch, composite_score / nullif(champion_score, 0) AS ratio FROM experiments), q AS (SELECT seq, avg(ratio) OVER (PARTITION BY branch ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS r FROM r)
+@query(_with(("experiments", "scored"), """, r AS (SELECT seq, branch, composite_score / nullif(champion_score, 0) AS ratio FROM scored), q AS (SELECT seq, avg(ratio) OVER (PARTITION BY branch ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS r FROM r)
 SELECT seq, round(r, 6) AS rolling_ratio, CASE WHEN r > 1.1 THEN 'suspicious' WHEN r >= 0.9 THEN 'healthy' WHEN r >= 0.7 THEN 'moderate' WHEN r >= 0.5 THEN 'concerning' WHEN r IS NOT NULL THEN 'broken' END AS band FROM q"""))
 def decay_ratio(spark: SparkSession, d: str) -> DataFrame:
     """How test scores fall behind validation scores."""
-    out = temporal.decay(view(spark, d, "experiments"), "branch", "seq", F.col("champion_score"), F.col("composite_score"), 10)
+    out = temporal.decay(scored_experiments(spark, d), "branch", "seq", F.col("champion_score"), F.col("composite_score"), 10)
     return out.select("seq", F.round("rolling_ratio", 6).alias("rolling_ratio"), "band")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trialforge.functions.skew import running
 from trialforge.sources.tables import table
 
 VIEWS = {
@@ -22,7 +24,6 @@ VIEWS = {
            CASE o_orderstatus WHEN 'F' THEN 'REJECT' WHEN 'O' THEN 'PROMOTE' ELSE 'MARGINAL' END AS verdict,
            CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS BIGINT) AS cycle,
            o_totalprice / 100000.0 AS composite_score,
-           max(o_totalprice / 100000.0) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS champion_score,
            CASE WHEN o_orderkey % 4 = 0 THEN concat('lr: ', CAST(o_orderkey % 9 AS VARCHAR(3))) WHEN o_orderkey % 4 = 1 THEN 'depth: +1' WHEN o_orderkey % 4 = 2 THEN 'warm-up' END AS delta,
            CASE WHEN o_orderkey % 5 = 0 THEN 'p_value 0.2' WHEN o_orderkey % 5 = 1 THEN 'Below Baseline' WHEN o_orderkey % 5 = 2 THEN 'score=0.4' ELSE 'late' END AS reason
            FROM {orders}""",
@@ -69,6 +70,14 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, folder, t) for t in tables})
 
 
+def scored_experiments(spark: SparkSession, folder: str) -> DataFrame:
+    """The experiments with champion_score, their branch's best score so far. Branches are few and large, so it is made in slices."""
+    return running(view(spark, folder, "experiments"), "branch", "seq", F.col("composite_score"), "max", "champion_score", current=True)
+
+
+_SCORED = "SELECT *, max(composite_score) OVER (PARTITION BY branch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS champion_score FROM experiments"
+
+
 def view_sql(*names: str) -> str:
-    """The views as common table expressions for DuckDB."""
-    return ",\n".join(f"{n} AS ({VIEWS[n][1].format(**{t: t for t in VIEWS[n][0]})})" for n in names)
+    """The views as common table expressions for DuckDB; `scored`, which follows experiments, is that of scored_experiments."""
+    return ",\n".join(f"{n} AS ({_SCORED if n == 'scored' else VIEWS[n][1].format(**{t: t for t in VIEWS[n][0]})})" for n in names)
