@@ -64,9 +64,11 @@ def test_pareto_layers(spark):
         top = {k for k, v in left.items() if not any(beats(o, v) for o in left.values())}
         want |= {k: layer for k in top}
         left, layer = {k: v for k, v in left.items() if k not in top}, layer + 1
-    assert {x.k: x.layer for x in pareto.layers(df, "k", ["a", "b", "c"]).collect()} == want
+    for size in (40, 10_000):
+        assert {x.k: x.layer for x in pareto.layers(df, "k", ["a", "b", "c"], block=size).collect()} == want
+        assert {x.k for x in pareto.front(df, ["a", "b", "c"], size).collect()} == {k for k, l in want.items() if l == 0}
     front = [pts[k] for k, l in want.items() if l == 0]
-    for size in (3, 10_000):
+    for size in (30, 10_000):
         got = {x.k: x.dominated_by for x in pareto.dominators(df, "k", ["a", "b", "c"], size).collect()}
         assert got == {k: sum(beats(f, pts[k]) for f in front) for k in want}
     assert pareto.layers(df.where("false"), "k", ["a", "b"]).count() == 0

@@ -673,16 +673,16 @@ def pareto_front0(spark: SparkSession, d: str) -> DataFrame:
 @query(_with(("points",), """,
 dom AS (SELECT a.candidate_id AS lo, b.candidate_id AS hi FROM points a JOIN points b ON b.gain >= a.gain AND b.thrift >= a.thrift AND (b.gain > a.gain OR b.thrift > a.thrift)),
 lay AS (SELECT candidate_id, CAST(0 AS BIGINT) AS layer FROM points UNION SELECT dom.lo, lay.layer + 1 FROM lay JOIN dom ON dom.hi = lay.candidate_id)
-SELECT candidate_id, max(layer) AS layer FROM lay GROUP BY candidate_id""", True))
+SELECT candidate_id, max(layer) AS layer, CAST([] AS BIGINT[]) AS dominated_by FROM lay GROUP BY candidate_id""", True))
 def pareto_rank(spark: SparkSession, d: str) -> DataFrame:
-    """The layer of each point, the front being 0."""
-    return pareto.layers(view(spark, d, "points"), "candidate_id", ["gain", "thrift"])
+    """The layer of each point, the front being 0. dominated_by is empty, as each layer is made without those above it."""
+    return pareto.layers(view(spark, d, "points"), "candidate_id", ["gain", "thrift"]).withColumn("dominated_by", F.array().cast("array<bigint>"))
 
 
 @query(_with(("points",), """, f AS (SELECT * FROM points a WHERE NOT EXISTS (SELECT 1 FROM points b WHERE b.gain >= a.gain AND b.thrift >= a.thrift AND (b.gain > a.gain OR b.thrift > a.thrift)))
-SELECT a.candidate_id, count(f.candidate_id) AS dominated_by FROM points a LEFT JOIN f ON f.gain >= a.gain AND f.thrift >= a.thrift AND (f.gain > a.gain OR f.thrift > a.thrift) GROUP BY 1"""))
+SELECT a.candidate_id, count(f.candidate_id) AS dominated_by, min(f.candidate_id) AS first_dominator FROM points a LEFT JOIN f ON f.gain >= a.gain AND f.thrift >= a.thrift AND (f.gain > a.gain OR f.thrift > a.thrift) GROUP BY 1"""))
 def pareto_dominators(spark: SparkSession, d: str) -> DataFrame:
-    """How many points of the front dominate each point."""
+    """How many points of the front dominate each point, and one of them."""
     return pareto.dominators(view(spark, d, "points"), "candidate_id", ["gain", "thrift"])
 
 
