@@ -170,12 +170,26 @@ def clamped(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
-def parameter_count(depth: Column, width: Column, block: Column, vocabulary: int = 96) -> Column:
+# Fixed value: the vocabulary that a model has unless told otherwise.
+VOCABULARY = 96
+
+
+def parameter_count(depth: Column, width: Column, block: Column, vocabulary: int = VOCABULARY) -> Column:
     """Rough size of a transformer: embeddings, layers of attention and feed-forward, head."""
     layer = width * width * 12 + width * 4
     return (width * vocabulary * 2 + block * width + depth * layer).cast("long")
 
 
+# Packages that are imported under another name.
+IMPORT_NAMES = {"pyyaml": "yaml", "scikit-learn": "sklearn"}
+
+
+def import_name(package: Column) -> Column:
+    """The name under which a package is imported: its own with underscores, but for a few."""
+    known = F.create_map(*[F.lit(x) for pair in IMPORT_NAMES.items() for x in pair])
+    return F.coalesce(known[package], F.replace(package, F.lit("-"), F.lit("_")))
+
+
 def requirement_name(line: Column) -> Column:
     """The package that a line of a requirements file names: lower case, without comment, marker, version or extras."""
     bare = F.trim(F.split_part(line, F.lit("#"), F.lit(1)))

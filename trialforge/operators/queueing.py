@@ -54,6 +54,21 @@ def mutations(axes: DataFrame) -> DataFrame:
     return per_axis.select("family", "axis_pos", F.col("axis.path").alias("path"), F.posexplode("axis.values").alias("value_pos", "value"))
 
 
+def mutation_parents(families: DataFrame, champions: DataFrame, best: DataFrame, baseline: str) -> DataFrame:
+    """family and parent of each family's next mutation: its own champion, else the global one, else the baseline. champions has family
+    and champion, best one row with champion."""
+    own = families.join(champions, "family", "left")
+    top = best.agg(F.max("champion").alias("_best"))
+    return own.join(F.broadcast(top), F.lit(True)).select("family", F.coalesce(F.col("champion").cast("string"), F.col("_best").cast("string"), F.lit(baseline)).alias("parent"))
+
+
+def minted(stable: Column, operator: Column, wins: Column, credits: dict[str, int]) -> Column:
+    """The credits that a promotion mints: for itself, a stable score, a new kind of operator and each decisive win."""
+    novel = F.coalesce(operator.isin("crossover", "frame_break_spawn"), F.lit(False))
+    steady = F.coalesce(stable, F.lit(False))
+    return (F.lit(credits["promote_credit"]) + F.when(steady, credits["stable_credit"]).otherwise(0) + F.when(novel, credits["novelty_credit"]).otherwise(0) + wins * credits["prediction_credit"]).cast("long")
+
+
 def crossovers(champions: DataFrame, compatible: DataFrame) -> DataFrame:
     """For each family the pairs of champions of its compatible families, each pair once, in the order of the list. The pairs come
     from arrays of the configuration; what is joined are families with champions."""

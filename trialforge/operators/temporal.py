@@ -58,6 +58,40 @@ def walk_forward_scores(rows: DataFrame, time: str, value: str, windows: DataFra
     return flat.groupBy("p.fold").agg(F.avg(F.when(F.col("p.part") == "train", F.col("v"))).alias("train_mean"), F.avg(F.when(F.col("p.part") == "test", F.col("v"))).alias("test_mean"))
 
 
+def embargoed(rows: DataFrame, time: str, test_from: int, test_to: int, purge: int, embargo: int) -> DataFrame:
+    """Rows with `part`: test within the window, train outside it, and neither (left out) within `purge` before and `embargo` after."""
+    t = F.col(time)
+    part = F.when((t >= test_from) & (t < test_to), "test").when((t < test_from - purge) | (t >= test_to + embargo), "train")
+    return rows.withColumn("part", part).where("part is not null")
+
+
+def purged_combinations(rows: DataFrame, time: str, value: str, groups: int, k: int, purge: int, embargo: int) -> DataFrame:
+    """Every choice of k of `groups` stretches of time as the test: split, test_groups (their numbers), n_train, train_mean, test_mean.
+    Training rows within `purge` before or `embargo` after a test stretch are left out.
+
+    Rows are summed up by their time first, so each choice reads the sums of the times, not the rows; choices are few: 2 to the number of
+    groups, of which there are 20 at most.
+    """
+    if not 0 < k < groups <= 20:
+        raise ValueError("0 < k < groups <= 20")
+    sums = rows.where(F.col(time).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(time).cast("long").alias("t")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    ends = sums.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if not ends["n"]:
+        return rows.sparkSession.createDataFrame([], "split bigint, test_groups string, n_train bigint, train_mean double, test_mean double")
+    first, width = ends["a"], -(-(ends["b"] + 1 - ends["a"]) // groups)
+    masks = [m for m in range(1 << groups) if m.bit_count() == k]
+    chosen = [(i, ",".join(str(g) for g in range(groups) if m >> g & 1), [g for g in range(groups) if m >> g & 1]) for i, m in enumerate(masks)]
+    splits = rows.sparkSession.createDataFrame(chosen, "split bigint, test_groups string, tests array<bigint>")
+    both = sums.withColumn("g", F.floor((F.col("t") - first) / width)).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("i"))
+    both = both.join(splits, F.col("i") == F.col("split"))
+    is_test = F.array_contains("tests", F.col("g"))
+    near = F.exists("tests", lambda x: (F.col("t") >= first + x * width - purge) & (F.col("t") < first + (x + 1) * width + embargo))
+    both = both.withColumn("part", F.when(is_test, "test").when(~near, "train"))
+    total = lambda c, part: F.sum(F.when(F.col("part") == part, F.col(c)))
+    out = both.groupBy("split", "test_groups").agg(F.coalesce(total("n", "train"), F.lit(0)).alias("n_train"), (total("s", "train") / total("n", "train")).alias("train_mean"), (total("s", "test") / total("n", "test")).alias("test_mean"))
+    return out
+
+
 def gate(scores: DataFrame, score: Column, least_positive: float = 0.5) -> DataFrame:
     """Share of positive folds, consistency (1 less relative deviation) and whether the share is enough; one row."""
     s = scores.select(score.alias("s")).agg(F.avg(F.when(F.col("s") > 0, 1.0).otherwise(0.0)).alias("positive_share"), (1 - F.try_divide(F.stddev_pop("s"), F.avg("s"))).alias("consistency"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialforge.plans import general, reference, texts
+from trialforge.plans import general, lab, reference, texts
 
-QUERIES = {**general.QUERIES, **reference.QUERIES, **texts.QUERIES}
-ORACLE = {**general.ORACLE, **reference.ORACLE, **texts.ORACLE}
+QUERIES = {**general.QUERIES, **reference.QUERIES, **lab.QUERIES, **texts.QUERIES}
+ORACLE = {**general.ORACLE, **reference.ORACLE, **lab.ORACLE, **texts.ORACLE}

@@ -201,11 +201,12 @@ def status_icon(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "branches").select("branch", metrics.status_icon(F.col("status"), F.col("n_improvements"), F.col("n_experiments")).alias("icon"))
 
 
-@query("SELECT p_partkey AS part, CASE p_partkey % 4 WHEN 0 THEN NULL ELSE 'pkg-' || p_size END AS package FROM part")
+@query("SELECT p_partkey AS part, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 'pyyaml' ELSE 'pkg-' || p_size END AS package, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 'yaml' ELSE 'pkg_' || p_size END AS import_name FROM part")
 def requirement_names(spark: SparkSession, d: str) -> DataFrame:
-    """The package that a line of a requirements file names."""
-    line = F.element_at(F.array(F.lit("git+https://example.org/x"), F.format_string("PKG-%d[extra]>=1.0 ; python_version > '3' # pinned", "p_size"), F.format_string(" pkg-%d==2", "p_size"), F.format_string("Pkg-%d", "p_size")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), metrics.requirement_name(line).alias("package"))
+    """The package that a line of a requirements file names, and the name it is imported under."""
+    line = F.element_at(F.array(F.lit("git+https://example.org/x"), F.format_string("PKG-%d[extra]>=1.0 ; python_version > '3' # pinned", "p_size"), F.format_string(" pkg-%d==2", "p_size"), F.lit("PyYAML>=6")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    package = metrics.requirement_name(line)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), package.alias("package"), metrics.import_name(package).alias("import_name"))
 
 
 @query("""SELECT p_partkey AS part, round(exp(-power(p_size - 4, 2) / 8.0), 9) AS bell, round(exp(-power(ln(p_retailprice) - ln(1200.0), 2) / 0.5), 9) AS log_bell,
@@ -276,6 +277,18 @@ def decisive_leaders(spark: SparkSession, d: str) -> DataFrame:
     return ordered.prefix_leaders(runs, "g", "seq", F.col("score")).select("family", "test", "seq", "score", "bar")
 
 
+@query(_with(("runs",), """,
+n AS (SELECT family, seq, search_eval - 50.0 AS s, row_number() OVER (PARTITION BY family ORDER BY seq) AS k FROM (SELECT family, seq, round(search_eval) AS search_eval FROM runs WHERE event_type = 'purchase')),
+f AS (
+  SELECT family, k, seq, s, true AS led, s AS leader FROM n WHERE k = 1
+  UNION ALL SELECT n.family, n.k, n.seq, n.s, f.leader = 0 OR n.s > f.leader, CASE WHEN f.leader = 0 OR n.s > f.leader THEN n.s ELSE f.leader END FROM f JOIN n ON n.family = f.family AND n.k = f.k + 1)
+SELECT family, seq, s AS score FROM f WHERE led""", True))
+def zero_is_missing_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """Leaders where a leader of exactly 0 counts as none, so that any score follows it."""
+    runs = view(spark, d, "runs").where("event_type = 'purchase'").select("family", "seq", (F.round("search_eval") - 50.0).alias("score"))
+    return ordered.prefix_leaders(runs, "family", "seq", F.col("score"), zero_is_missing=True).select("family", "seq", "score")
+
+
 _FOLD = _STATS + """,
 agg AS (SELECT *, all_valid AND runs >= 2 AND coalesce(relative_std <= 1.0, true) AS eligible, row_number() OVER (PARTITION BY family ORDER BY last_seq) AS k FROM stats),
 fold AS (
@@ -332,7 +345,7 @@ _AMOUNT = "CASE event_type WHEN 'purchase' THEN 4 WHEN 'view' THEN 0 ELSE -1 END
 
 @query(_with(("runs",), f" SELECT family, seq, CAST({_AMOUNT} AS BIGINT) AS amount, CAST(10 + sum({_AMOUNT}) OVER (PARTITION BY family ORDER BY seq) AS BIGINT) AS balance FROM runs"))
 def credit_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Credits minted and spent, with the balance after each entry."""
+    """A ledger of credits, with the balance after each entry."""
     amount = F.when(F.col("event_type") == "purchase", 4).when(F.col("event_type") == "view", 0).otherwise(-1).cast("long")
     runs = view(spark, d, "runs").select("family", "seq", amount.alias("amount"))
     return ordered.ledger(runs, "family", "seq", F.col("amount"), 10)
@@ -502,7 +515,7 @@ WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R'
 SELECT 'union' AS op, count(*) AS n FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)
 UNION ALL SELECT 'semi', count(*) FROM a WHERE k IN (SELECT k FROM b) UNION ALL SELECT 'all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)""")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    """H1-H6: union of sets, difference, membership and concatenation."""
+    """H1-H5: union of sets, difference, membership and concatenation."""
     li = table(spark, d, "lineitem")
     a, b = (li.where(c).select(F.col("l_suppkey").alias("k")).distinct() for c in ("l_returnflag = 'R'", "l_quantity > 49"))
     made = {"union": a.union(b).distinct(), "except": a.exceptAll(b), "semi": a.join(b, "k", "left_semi"), "all": a.unionByName(b)}
@@ -697,14 +710,18 @@ def lineage_depth(spark: SparkSession, d: str) -> DataFrame:
     return tree.select(F.col("candidate_id").cast("long").alias("id"), (F.col("node_depth") + 1).alias("depth"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT CAST(p_partkey AS VARCHAR) AS candidate_id, p_partkey AS k, CAST(p_size AS BIGINT) AS depth FROM part WHERE p_partkey < 512)
-SELECT candidate_id, '{"model": {"depth": ' || depth || ', "type": "base"}}' AS config FROM t""")
+@query("""WITH RECURSIVE up AS (
+  SELECT p_partkey AS id, p_partkey AS anc, 0 AS far FROM part UNION ALL SELECT up.id, p.p_partkey, far + 1 FROM up JOIN part p ON p.p_partkey = up.anc // 2 WHERE up.anc > 1),
+near AS (SELECT id, anc % 5 AS k, arg_min(p_size, far) AS size FROM up JOIN part ON p_partkey = anc GROUP BY ALL)
+SELECT CAST(id AS VARCHAR) AS candidate_id, '{' || string_agg('"k' || k || '": {"depth": ' || size || ', "seed": 1}', ', ' ORDER BY k) || ', "model": {"depth": 1, "type": "base"}}' AS config
+FROM (SELECT id, k, size FROM near) GROUP BY id""")
 def resolved_config(spark: SparkSession, d: str) -> DataFrame:
-    """I8: each candidate's whole configuration along its lineage."""
+    """I8: each candidate's whole configuration along its lineage. A candidate sets one of five keys; the others come from the nearest
+    ancestor that sets them."""
     part = table(spark, d, "part")
     k = F.col("p_partkey")
     parents = F.when(k > 1, F.array(F.floor(k / 2).cast("string"))).otherwise(F.array().cast("array<string>"))
-    patch = configs.nested_patch(F.lit("model.depth"), F.col("p_size").cast("string"))
+    patch = F.format_string('{"k%d": {"depth": %d, "seed": 1}}', k % 5, "p_size")
     c = part.select(k.cast("string").alias("candidate_id"), parents.alias("parent_ids"), patch.alias("config_patch"))
     return configs.resolved(c, '{"model": {"depth": 1, "type": "base"}}')
 
@@ -827,7 +844,7 @@ def lab_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT snapshot_id, family, CAST(f ->> '$.credits' AS BIGINT) AS credits FROM (
   SELECT DISTINCT snapshot_id, family, json_extract(family_funding, '$."' || family || '"') AS f FROM (SELECT snapshot_id, family_funding, unnest(json_keys(family_funding)) AS family FROM frontier WHERE json_valid(family_funding) AND json_type(family_funding) = 'OBJECT'))""")
 def family_credits(spark: SparkSession, d: str) -> DataFrame:
-    """The credits of each family in the snapshots, flattened from their map."""
+    """The credits of each family in the snapshots, flattened from their map."""
     parsed = table(spark, d, "frontier").select("snapshot_id", F.from_json("family_funding", "map<string, struct<credits:bigint>>", {"mode": "PERMISSIVE"}).alias("m"), F.try_parse_json("family_funding").alias("v"))
     flat = parsed.where(F.col("v").isNotNull()).select("snapshot_id", F.explode("m").alias("family", "f"))
     return flat.select("snapshot_id", "family", "f.credits").distinct()
@@ -835,14 +852,14 @@ def family_credits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, step_count, total FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS step_count, CAST(sum(CAST(value AS DECIMAL(38, 6))) OVER (ORDER BY event_id) AS DOUBLE) AS total FROM events) WHERE step_count % 500 = 0")
 def checkpoint_ticks(spark: SparkSession, d: str) -> DataFrame:
-    """Totals at every five hundredth step."""
+    """totals at every five hundredth step."""
     return state.ticks(table(spark, d, "events").select("event_id", F.col("value").alias("amount")), "event_id", 500)
 
 
 @query(_with(("jobs",), """, p AS (SELECT resource_class, count(*) AS n, count(*) FILTER (WHERE status IN ('queued', 'leased')) AS pending, min(job_id) % 4 AS audits FROM jobs GROUP BY 1)
 SELECT resource_class, CASE WHEN n % 6 = 0 THEN 'checkpoint' WHEN audits > 0 THEN 'audit' WHEN pending > 0 THEN 'supervisor' ELSE 'frame_break' END AS phase FROM p"""))
 def phase_router(spark: SparkSession, d: str) -> DataFrame:
-    """What each class's lab does next."""
+    """The rules of the phase over counts of jobs."""
     one = view(spark, d, "jobs").groupBy("resource_class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin("queued", "leased")).alias("pending"), (F.min("job_id") % 4).alias("audits"))
     phase = state.phase(F.lit(True), F.lit(True), F.col("n"), 6, F.lit(False), F.col("audits"), F.col("pending"), state.plateaued(F.lit(None).cast("boolean"), F.col("n"), 3))
     return one.select("resource_class", phase.alias("phase"))
@@ -860,7 +877,7 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_CURRENT}, t AS (SELECT * FROM (SELECT fam, id, st, row_number() OVER (PARTITION BY fam ORDER BY seq DESC, id) AS k FROM cur WHERE fam IN (SELECT fam FROM cur GROUP BY fam HAVING count(*) FILTER (WHERE st = 'promoted') = 0)) WHERE k <= 5)
 SELECT fam AS family, '[' || string_agg('{{"candidate_id":"' || id || '"' || CASE WHEN st IS NULL THEN '' ELSE ',"status":"' || st || '"' END || '}}', ',' ORDER BY k) || ']' AS recent FROM t WHERE fam <> '' GROUP BY fam""")
 def scout_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Families without a promotion, with their last five candidates as JSON."""
+    """Families without a promotion, with their last five candidates as JSON."""
     cur = _current(spark, d)
     stuck = cur.where(present("family")).groupBy("family").agg(F.count_if(F.col("status") == "promoted").alias("n")).where("n = 0")
     return state.scout_requests(cur, stuck)

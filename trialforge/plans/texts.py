@@ -158,12 +158,3 @@ def family_pools(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     both = c.join(n, c["c_nationkey"] == n["n_nationkey"])
     return both.groupBy(F.col("c_mktsegment").alias("family"), F.col("n_name").alias("pool")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def lab_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of candidates by status and of families, as one JSON document."""
-    cur = _current(spark, d)
-    by = cur.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
-    one = by.agg(F.sum("n").alias("candidates"), F.max("last_seq").alias("last_seq"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("status", F.lit("none")), "n")))).alias("by_status"))
-    return one.select(F.to_json(F.struct("candidates", "last_seq", "by_status")).alias("summary"))

@@ -40,7 +40,7 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.StructType, bad:
     """JSON lines with seq. Blank lines are skipped; a bad line fails the read, is dropped or kept apart.
 
     bad: `fail`; `drop`; `keep` adds the column corrupt with the text of bad lines and null for good ones. A missing file is an
-    empty log. seq follows file name and place in the file.
+    empty log. seq follows file name and place in the file; folders, as append_lines makes them, are read whole.
     """
     schema = _schema(schema)
     out = T.StructType([T.StructField("seq", T.LongType()), *schema.fields, *([T.StructField("corrupt", T.StringType())] if bad == "keep" else [])])
@@ -48,7 +48,7 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.StructType, bad:
         return spark.createDataFrame([], out)
     # one line a row; a file is read in blocks, and the id follows the lines of a block
     at = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")]
-    lines = spark.read.text(path).select("value", *at).where(F.trim("value") != "")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", *at).where(F.trim("value") != "")
     mode = "FAILFAST" if bad == "fail" else "PERMISSIVE"
     inner = T.StructType([*schema.fields, T.StructField("corrupt", T.StringType())])
     parsed = lines.select("_f", "_b", "_i", F.from_json("value", schema if bad == "fail" else inner, {"mode": mode, "columnNameOfCorruptRecord": "corrupt"}).alias("_x"), "value")
@@ -83,6 +83,11 @@ def read_text(spark: SparkSession, path: str) -> str:
     return rows[0][0] if rows else ""
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files of a text log."""
+    return spark.read.text(path) if exists(spark, path) else spark.createDataFrame([], "value string")
+
+
 def read_yaml(spark: SparkSession, path: str, default: object = None) -> object:
     """A configuration as Python values; needs PyYAML, which the cluster may lack: then JSON, which is YAML, is still read."""
     text = read_text(spark, path)
@@ -99,12 +104,15 @@ def read_yaml(spark: SparkSession, path: str, default: object = None) -> object:
 
 
 def append_lines(df: DataFrame, path: str) -> None:
-    """Adds rows to a log of JSON lines."""
-    df.write.mode("append").json(path)
+    """Adds rows to a log of JSON lines: a folder for each append, numbered, so that later ones are read after it. Of two that append
+    at the same time one fails and may try again."""
+    fs, p = _fs(df.sparkSession, path)
+    n = len(fs.listStatus(p)) if fs.exists(p) else 0
+    df.write.mode("error").json(f"{path}/batch-{n:09d}")
 
 
 def append_text(df: DataFrame, path: str, template: str) -> None:
-    """Adds a line of text for each row, made from a format string over the columns in their order."""
+    """Adds a line of text for each row, made from a format string over the columns in their order; read it with read_texts."""
     df.select(F.format_string(template, *df.columns).alias("value")).write.mode("append").text(path)
 
 
@@ -112,22 +120,26 @@ def create_if_absent(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").json(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside its place and then moves it there in one rename; readers see the old text or the new one."""
+    fs, place = _fs(spark, path)
+    temporary = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(temporary, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(temporary, place, options)
+
+
 def replace_atomically(df: DataFrame, path: str) -> str:
     """Writes a new version beside the others and then moves the pointer file, in one rename; readers see the old or the new one."""
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    fs, root = _fs(spark, path)
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    temporary, pointer = Path(root, f".{version}"), Path(root, "CURRENT")
-    stream = fs.create(temporary, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration())
-    option = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = option
-    context.rename(temporary, pointer, options)
+    write_text(spark, f"{path}/CURRENT", version)
     return version
 
 
