@@ -109,7 +109,7 @@ def test_latest_records_by_batches_and_again(spark, tmp_path):
     at = str(tmp_path / "latest")
     for part in [*parts, parts[1]]:
         replay.merged_latest(spark.createDataFrame(part, schema), at, "id", "seq")
-    assert {tuple(r) for r in files.read_current(spark, at).collect()} == {("a", 3, "y"), ("b", 2, "x")}
+    assert {tuple(r) for r in replay.read_latest(spark, at, schema).collect()} == {("a", 3, "y"), ("b", 2, "x")}
 
 
 def test_repeated_attempts_are_dropped(spark, tmp_path):

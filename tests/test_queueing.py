@@ -11,17 +11,18 @@ T = datetime(2026, 1, 1)
 def test_fill_queue_one_pick_after_the_other(spark):
     given = [("a", 0, 3, 1, 0.5, 0, 5), ("b", 1, 3, 0, None, 0, 5), ("c", 2, 9, 0, 0.0, 4, 1), ("poor", 3, 0, 1, 9.0, 0, 5)]
     df = spark.createDataFrame(given, "family string, seq bigint, credits bigint, probes bigint, champion double, plateau bigint, options bigint")
-    credits, options, want = {x[0]: x[2] for x in given}, {x[0]: x[6] for x in given}, []
+    credits, options, probes, want = {x[0]: x[2] for x in given}, {x[0]: x[6] for x in given}, {x[0]: x[3] for x in given}, []
     for _ in range(6):
         able = [x for x in given if credits[x[0]] >= 1 and options[x[0]] > 0]
         if not able:
             break
-        best = max(able, key=lambda x: (credits[x[0]] + (x[3] > 0) + (x[4] or 0) - 0.25 * x[5], -x[1]))
+        best = max(able, key=lambda x: (credits[x[0]] + (probes[x[0]] > 0) + (x[4] or 0) - 0.25 * x[5], -x[1]))
         credits[best[0]] -= 1
         options[best[0]] -= 1
+        probes[best[0]] -= 1
         want.append(best[0])
-    assert [f for f, _ in queueing.fill_queue(df, 6)] == want
-    assert queueing.fill_queue(df, 0) == [] and queueing.fill_queue(df.where("false"), 3) == []
+    assert [r.family for r in queueing.fill_queue(df, 6).orderBy("pick").collect()] == want
+    assert queueing.fill_queue(df, 0).count() == 0 and queueing.fill_queue(df.where("false"), 3).count() == 0
 
 
 def test_workers_and_matching(spark):

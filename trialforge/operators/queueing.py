@@ -121,22 +121,18 @@ def combinations(winners: DataFrame, most: int = 16) -> DataFrame:
     return out.withColumn("place", F.row_number().over(W.orderBy("rank"))).drop("rank")
 
 
-def fill_queue(families: DataFrame, open_slots: int, cost: int = 1) -> list[tuple[str, int]]:
-    """The families whose options are queued next, one after the other: each pick costs credits and so changes the priorities.
+def fill_queue(families: DataFrame, open_slots: int, cost: int = 1) -> DataFrame:
+    """family and pick, from 1: the families whose options are queued next, as if picked one after the other, where each pick costs
+    credits, uses up a probe if there is one, and so lowers the family's priority.
 
-    families has one row for each family that may be funded (family, seq, credits, probes, champion, plateau, options); only the
-    best open_slots of them can be picked, as a pick never raises a priority, so no more come to the driver.
+    As a pick only ever lowers its own family's priority, the picks in turn are the best of all (family, k-th pick) by the priority
+    that the family has before its k-th pick, earlier families first among equals: one top-k instead of a loop. families has one row
+    for each family (family, seq, credits, probes, champion, plateau, options).
     """
-    bonus = F.when(F.col("probes") > 0, 1.0).otherwise(0.0)
-    base = F.coalesce("champion", F.lit(0.0)) + bonus - 0.25 * F.col("plateau")
-    best = families.where((F.col("credits") >= cost) & (F.col("options") > 0)).select("family", "seq", "credits", "options", base.alias("base")).orderBy((F.col("credits") + F.col("base")).desc(), "seq").limit(max(open_slots, 0))
-    state = [r.asDict() for r in best.collect()]
-    picks: list[tuple[str, int]] = []
-    while len(picks) < open_slots:
-        able = [x for x in state if x["credits"] >= cost and x["options"] > 0]
-        if not able:
-            break
-        top = min(able, key=lambda x: (-(x["credits"] + x["base"]), x["seq"]))
-        top["credits"], top["options"] = top["credits"] - cost, top["options"] - 1
-        picks.append((top["family"], len(picks) + 1))
-    return picks
+    able = F.least(F.floor(F.col("credits") / F.lit(cost)), F.col("options"), F.lit(open_slots)).cast("int")
+    picks = families.where((F.col("credits") >= cost) & (F.col("options") > 0)).select("*", F.explode(F.when(able >= 1, F.sequence(F.lit(0), able - 1)).otherwise(F.array().cast("array<int>"))).alias("k"))
+    bonus = F.when(F.col("probes") > F.col("k"), 1.0).otherwise(0.0)
+    priority = F.col("credits") - F.col("k") * cost + bonus + F.coalesce("champion", F.lit(0.0)) - 0.25 * F.col("plateau")
+    order = [F.col("priority").desc(), F.col("seq"), F.col("k")]
+    best = picks.withColumn("priority", priority).orderBy(*order).limit(max(open_slots, 0))
+    return best.select("family", F.row_number().over(W.orderBy(*order)).cast("long").alias("pick"))

@@ -668,10 +668,17 @@ def _funded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(k.alias("family"), k.alias("seq"), ((k * 7) % 11).alias("credits"), (k % 3).alias("probes"), F.when(k % 4 != 0, (k % 5) / 10.0).alias("champion"), (k % 6).alias("plateau"), (k % 3 + 1).alias("options"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT CAST(n_nationkey AS BIGINT) AS family, (n_nationkey * 7) % 11 AS credits, n_nationkey % 3 AS probes, CASE WHEN n_nationkey % 4 = 0 THEN 0.0 ELSE (n_nationkey % 5) / 10.0 END AS champion, n_nationkey % 6 AS plateau, n_nationkey % 3 + 1 AS options FROM nation),
+s AS (
+  SELECT 0 AS pick, CAST(NULL AS BIGINT) AS family, CAST([] AS BIGINT[]) AS past
+  UNION ALL
+  SELECT pick + 1, n.family, list_append(past, n.family) FROM s, LATERAL (
+    SELECT f.family FROM f WHERE credits - len(list_filter(past, lambda x: x = f.family)) >= 1 AND options > len(list_filter(past, lambda x: x = f.family))
+    ORDER BY CAST(credits AS DOUBLE) - len(list_filter(past, lambda x: x = f.family)) + CASE WHEN probes > len(list_filter(past, lambda x: x = f.family)) THEN 1 ELSE 0 END + champion - 0.25 * plateau DESC, f.family LIMIT 1) n WHERE pick < 10)
+SELECT family, CAST(pick AS BIGINT) AS pick FROM s WHERE pick > 0""")
 def queue_fill(spark: SparkSession, d: str) -> DataFrame:
     """The families picked for ten open slots, each pick changing the next."""
-    return spark.createDataFrame(queueing.fill_queue(_funded(spark, d), 10), "family bigint, pick bigint")
+    return queueing.fill_queue(_funded(spark, d), 10)
 
 
 # --- Pareto layers, lineage ---------------------------------------------------------------------------------------------

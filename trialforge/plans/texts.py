@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from trialforge.functions.text import folded
 from trialforge.operators import text_ml
 from trialforge.plans.reference import _current
 from trialforge.sources import files
+from trialforge.sources.files import exists
 from trialforge.sources.tables import table
 from trialforge.streaming import replay
 
@@ -130,12 +132,65 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
-    """2.L: latest records kept by a stream, each micro-batch folded into a table that is replaced in one step."""
+    """2.L: latest records kept by a stream, each micro-batch folded into the buckets of a table that it touches."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = _event_stream(spark, d).select("user_id", "event_id", F.col("event_type").alias("status"))
     q = rows.writeStream.foreachBatch(lambda df, _: replay.merged_latest(df, f"{base}/table", "user_id", "event_id")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return files.read_current(spark, f"{base}/table")
+    return replay.read_latest(spark, f"{base}/table", "user_id bigint, event_id bigint, status string")
+
+
+def _attempts(spark: SparkSession, d: str, base: str) -> DataFrame:
+    """The events as a log of attempts with each row delivered twice, the second time a minute late; read as a stream of two files."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("candidate_id"), F.col("ts").cast("timestamp").alias("at"))
+    e.repartition(1).write.mode("append").parquet(f"{base}/log")
+    e.withColumn("at", F.col("at") + F.expr("INTERVAL 1 MINUTE")).repartition(1).write.mode("append").parquet(f"{base}/log")
+    return spark.readStream.schema("event_id bigint, candidate_id bigint, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
+
+
+def _run(df: DataFrame, base: str, mode: str = "append", **trigger) -> None:
+    """Runs a stream over all that is there and writes its table."""
+    q = df.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint").outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
+    if trigger:
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q.awaitTermination()
+
+
+@query("SELECT event_id, user_id AS candidate_id FROM events")
+def stream_first_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """2.L: late repeats of an attempt are dropped within the watermark."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _run(replay.first_attempts(_attempts(spark, d, base), "at", "60 days", ["event_id"]).select("event_id", "candidate_id"), base)
+    return spark.read.parquet(f"{base}/table")
+
+
+@query("SELECT event_id FROM events")
+def polled_view(spark: SparkSession, d: str) -> DataFrame:
+    """2.L: a view that is brought up to date every five seconds."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _run(_event_stream(spark, d).select("event_id"), base, processingTime="5 seconds")
+    return spark.read.parquet(f"{base}/table")
+
+
+@query("SELECT n_nationkey AS job_id, CASE WHEN e = 0 THEN 'leased' ELSE 'expired' END AS event FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation), (SELECT unnest(range(2)) AS e) WHERE e = 0 OR n_nationkey % 2 = 0")
+def stream_leases(spark: SparkSession, d: str) -> DataFrame:
+    """2.L, J7: leases watched by timers of a stream: those that aren't finished run out by themselves."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("job_id"))
+    n.select("job_id", F.lit(1).cast("long").alias("seq"), F.lit("leased").alias("status")).coalesce(1).write.mode("append").parquet(f"{base}/log")
+    n.where("job_id % 2 = 1").select("job_id", F.lit(2).cast("long").alias("seq"), F.lit("finished").alias("status")).coalesce(1).write.mode("append").parquet(f"{base}/log")
+    log = spark.readStream.schema("job_id bigint, seq bigint, status string").option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
+    watched = replay.expiring_leases(log, 15_000)
+    q = watched.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(processingTime="500 milliseconds").start()
+    wanted = n.where("job_id % 2 = 0").count()
+    for _ in range(60):
+        if exists(spark, f"{base}/table") and spark.read.schema("job_id bigint, event string").parquet(f"{base}/table").where("event = 'expired'").count() >= wanted:
+            break
+        time.sleep(0.5)
+    q.stop()
+    return spark.read.parquet(f"{base}/table")
 
 
 @query("""

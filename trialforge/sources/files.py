@@ -134,6 +134,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(temporary, place, options)
 
 
+def remove_all(spark: SparkSession, path: str, keep: set[str]) -> None:
+    """Removes everything in a folder but the names to keep."""
+    fs, root = _fs(spark, path)
+    for entry in fs.listStatus(root):
+        if entry.getPath().getName() not in keep:
+            fs.delete(entry.getPath(), True)
+
+
 def replace_atomically(df: DataFrame, path: str) -> str:
     """Writes a new version beside the others and then moves the pointer file, in one rename; readers see the old or the new one."""
     spark = df.sparkSession

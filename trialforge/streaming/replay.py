@@ -5,13 +5,17 @@ A batch over the whole log and the stream over its parts give the same answer; `
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trialforge.sources import files
+
 
 def first_attempts(stream: DataFrame, time: str, delay: str, keys: list[str]) -> DataFrame:
     """Rows whose keys haven't come before within the delay; state older than the watermark is dropped."""
@@ -65,13 +69,38 @@ def expiring_leases(stream: DataFrame, timeout_ms: int) -> DataFrame:
     return stream.groupBy("job_id").applyInPandasWithState(watch, "job_id bigint, event string", "seq bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def merged_latest(batch: DataFrame, path: str, key: str, seq: str) -> None:
-    """For foreachBatch: folds a micro-batch into the table of latest records, replaced in one step; running a batch again changes
-    nothing, as the highest seq of a key wins."""
-    from trialforge.sources.files import exists, read_current, replace_atomically
-
-    rows = batch
-    if exists(batch.sparkSession, f"{path}/CURRENT"):
-        rows = read_current(batch.sparkSession, path).unionByName(batch)
-    rest = [c for c in rows.columns if c != key]
-    replace_atomically(rows.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("x")).select(key, "x.*"), path)
+#: Buckets of a table of latest records; a micro-batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    return json.loads(files.read_text(spark, f"{path}/CURRENT") or "{}")
+
+
+def merged_latest(batch: DataFrame, path: str, key: str, seq: str, buckets: int = BUCKETS) -> None:
+    """For foreachBatch: folds a micro-batch into the table of latest records. Keys are spread over buckets; only the buckets that the batch
+    touches are read and written, as a new version beside the old ones, and then the list of what is current is replaced in one step.
+    Running a batch again changes nothing, as the highest seq of a key wins. Versions that nothing refers to any more go."""
+    spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = batch.withColumn("_bucket", bucket)
+    touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]  # as many as there are buckets at most
+    if not touched:
+        return
+    current = _manifest(spark, path)
+    held = [f"{path}/{current[str(b)]}/_bucket={b}" for b in touched if str(b) in current]
+    if held:
+        rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*held).withColumn("_bucket", bucket))
+    rest = [c for c in batch.columns if c != key]
+    latest = rows.groupBy(key, "_bucket").agg(F.max_by(F.struct(*rest), seq).alias("x")).select("_bucket", key, "x.*")
+    version = f"v-{uuid.uuid4().hex}"
+    latest.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{version}")
+    made = current | {str(b): version for b in touched}
+    files.write_text(spark, f"{path}/CURRENT", json.dumps(made, sort_keys=True))
+    # what was current until now may still be read; what was replaced before goes with the next batch
+    files.remove_all(spark, path, keep={*made.values(), *current.values(), "CURRENT"})
+
+
+def read_latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that merged_latest keeps."""
+    paths = [f"{path}/{v}/_bucket={b}" for b, v in _manifest(spark, path).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
