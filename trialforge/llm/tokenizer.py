@@ -2,8 +2,9 @@
 
 The symbols of many words lie in one flat array. A round looks up the rank of every adjacent pair by binary search over the sorted
 pair keys, takes the lowest rank of each word and merges its occurrences from left to right, all words at once. A word leaves the
-array when none of its pairs can be merged. Words of more than LONG bytes, which would need thousands of rounds, are merged with a
-queue instead, one merge at a time, in the same order; no text is cut.
+array when none of its pairs can be merged. Words of more than LONG bytes (no natural ones: runs without a space or
+punctuation), which would need thousands of rounds of their own, are merged with a queue instead, in the same order and to the same ids;
+no text is cut.
 
 Defined results: a null or empty text has no ids; text that looks like a special token is ordinary text; unpaired surrogates
 can't occur in a table's text. Decoding the ids gives the text back, byte for byte.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trialforge.functions.partitions import spread
 
-LONG = 256
+LONG = 2048
 #: Words whose ids are remembered by a worker.
 MEMO = 200_000
 _NONE = np.iinfo(np.int64).max
@@ -165,6 +166,7 @@ def _encode(df: DataFrame, key: str, text: str, path: str | None, count: bool) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
+        model.memo.clear()  # words are remembered within a task, so that a run doesn't depend on those before it
         for batch in batches:
             size = max(1, min(512, batch.num_rows))
             for at in range(0, batch.num_rows, size):
