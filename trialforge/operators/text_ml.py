@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trialforge.functions.lineage import materialize
 from trialforge.functions.partitions import spread
+from trialforge.functions.text import WHITE_SPACE
 
 # Words that mark a text of mixed sentiment, and the labels of the two extremes.
 MIXED = ("still", "mostly", "acceptable", "partial", "rough", "yet", "but")
@@ -42,15 +43,16 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def char_ngrams(text: Column, least: int, most: int) -> Column:
-    """Runs of `least` to `most` characters within words that are padded with a space on both sides; longer runs than a padded word
-    don't occur in it."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\r\n\f]+"), lambda w: w != "")
+    """Runs of `least` to `most` characters within words, which any white space parts, padded with a space on both sides. A padded word
+    shorter than `least` is one run; longer runs than a padded word don't occur in it."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[{WHITE_SPACE}]+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def runs(k: int) -> Column:
         return F.flatten(F.transform(padded, lambda w: _windows(F.length(w), k, lambda i: F.substring(w, i, F.lit(k)))))
 
-    return F.concat(*[runs(k) for k in range(least, most + 1)])
+    short = F.filter(padded, lambda w: F.length(w) < least)
+    return F.concat(short, *[runs(k) for k in range(least, most + 1)])
 
 
 def tf_idf(docs: DataFrame, key: str, terms: Column, min_df: int = 1) -> DataFrame:
@@ -119,8 +121,8 @@ def classify(prepared: DataFrame, kind: str, fit_on: Column) -> DataFrame:
     return model.transform(prepared).select(*rest, F.col("prediction").cast("int").alias("prediction"))
 
 
-def calibrated(prepared: DataFrame, fit_on: Column, folds: int = 2) -> DataFrame:
-    """Rows of `vectors` with a prediction and the probability of their label from a linear SVM, calibrated by a sigmoid that is
+def calibrated(prepared: DataFrame, fit_on: Column, folds: int = 2, of: float | None = None) -> DataFrame:
+    """Rows of `vectors` with a prediction and the probability of the label `of` (of their own if none is given) from a linear SVM, calibrated by a sigmoid that is
     fitted, for each label, on the margins of rows that the model of their fold hasn't seen; averaged over the folds, scaled to 1."""
     train = prepared.where(fit_on).withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
     labels = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
@@ -139,4 +141,4 @@ def calibrated(prepared: DataFrame, fit_on: Column, folds: int = 2) -> DataFrame
     means = every.groupBy("doc_id", "class").agg(F.avg("p").alias("p"))
     total = means.groupBy("doc_id").agg(F.sum("p").alias("_all"), F.max_by("class", "p").alias("prediction"))
     rest = [c for c in prepared.columns if c != "features"]
-    return prepared.drop("features").join(total, "doc_id").join(means, ["doc_id"]).where(F.col("class") == F.col("label")).select(*rest, "prediction", (F.col("p") / F.col("_all")).alias("probability"))
+    return prepared.drop("features").join(total, "doc_id").join(means, ["doc_id"]).where(F.col("class") == (F.col("label") if of is None else F.lit(of))).select(*rest, "prediction", (F.col("p") / F.col("_all")).alias("probability"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialforge.functions.lineage import shared_folder
-from trialforge.functions.text import folded
+from trialforge.functions.text import WHITE_SPACE, folded
 from trialforge.operators import text_ml
 from trialforge.plans.reference import _current
 from trialforge.sources import files
@@ -41,8 +41,8 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
-@query(r"""
-WITH words AS (SELECT ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\r\n\f]+'), lambda x: x <> '')) || ' ' AS w FROM documents),
+@query(f"""
+WITH words AS (SELECT ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[{WHITE_SPACE}]+'), lambda x: x <> '')) || ' ' AS w FROM documents),
 grams AS (SELECT substr(w, i, k) AS gram FROM (SELECT w, k, unnest(range(1, length(w) - k + 2)) AS i FROM words, (VALUES (3), (4)) AS t(k)))
 SELECT gram, count(*) AS n FROM grams GROUP BY gram""")
 def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def text_scores(spark: SparkSession, d: str) -> DataFrame:
 def calibrated_text(spark: SparkSession, d: str) -> DataFrame:
     """K5: calibrated probability that a text is English."""
     rows = _labelled(spark, d).withColumn("label", (F.col("label") == 0).cast("double"))
-    return text_ml.calibrated(text_ml.vectors(rows, F.col("train"), **FEATURES).drop("text"), F.col("train")).where("not train").select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), F.round("probability", 6).alias("probability"))
+    return text_ml.calibrated(text_ml.vectors(rows, F.col("train"), **FEATURES).drop("text"), F.col("train"), of=1.0).where("not train").select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), F.round("probability", 6).alias("probability"))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS seq, event_id, user_id, event_type FROM events")
