@@ -74,6 +74,12 @@ def order_slices(df: DataFrame, group: str, order: str, hot: list, n: int = 128)
     return F.when(is_hot(F.col(group), hot) & F.col(order).isNotNull(), inside).otherwise(F.lit(0)).cast("long")
 
 
+def cut_of(df: DataFrame, group: str, order: str) -> tuple[list, Column]:
+    """The hot groups of df and the column of their slices: found once, they serve every running value of the same rows."""
+    hot = hot_keys(df, group)
+    return hot, order_slices(df, group, order, hot)
+
+
 def positions(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds `name`: the place, from 1, of each row in its group by the order columns, which tell all rows of a group apart. Rows are
     range-partitioned on group and order and written, as another run might cut the ranges elsewhere; a row's place is that in its
@@ -112,14 +118,15 @@ def rolling(df: DataFrame, group: str, order: str, n: int, add: Callable[[DataFr
     return small.unionByName(large)
 
 
-def running(df: DataFrame, group: str, order: str, value: Column, how: str, name: str, current: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+def running(df: DataFrame, group: str, order: str, value: Column, how: str, name: str, current: bool = False, ties: tuple[str, ...] = (), cut: tuple[list, Column] | None = None) -> DataFrame:
     """Adds `name`: the max, sum or last non-null of `value` over the group's earlier rows by `order` (numeric; with the columns of
     `ties` unique in a group), with the row itself if `current`; null where there is none.
 
-    Hot groups run in slices of `order`; what earlier slices add comes from a summary with one row for each slice.
+    Hot groups run in slices of `order`, given by `cut` or found here; what earlier slices add comes from a summary with one row for
+    each slice.
     """
-    hot = hot_keys(df, group)
-    flat = df.withColumn("_v", value).withColumn("_part", order_slices(df, group, order, hot))
+    hot, slices = cut or cut_of(df, group, order)
+    flat = df.withColumn("_v", value).withColumn("_part", slices)
     w = W.partitionBy(group, "_part").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0 if current else -1)
     fold = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}[how]
     if not hot:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-from trialforge.functions.skew import rolling, running
+from trialforge.functions.lineage import materialize
+from trialforge.functions.skew import cut_of, rolling, running
 
 
 def prefix_leaders(rows: DataFrame, group: str, order: str, score: Column, zero_is_missing: bool = False) -> DataFrame:
@@ -28,9 +29,10 @@ def prefix_leaders(rows: DataFrame, group: str, order: str, score: Column, zero_
         seen = running(flat, group, order, F.col("_s"), "max", "bar")
         return seen.where(F.col("_s").isNotNull() & (F.col("bar").isNull() | (F.col("_s") > F.col("bar")))).drop("_s")
     # a 0 leads only over negative scores, and whatever follows it restarts the bar: segments are cut at the zeros that led
-    seen = running(flat, group, order, F.col("_s"), "max", "_max")
+    by_order = cut_of(flat, group, order)
+    seen = running(flat, group, order, F.col("_s"), "max", "_max", cut=by_order)
     zero_led = (F.col("_s") == 0) & (F.col("_max").isNull() | (F.col("_max") <= 0))
-    cut = running(seen, group, order, F.when(zero_led, F.col(order)), "max", "_cut")
+    cut = running(seen, group, order, F.when(zero_led, F.col(order)), "max", "_cut", cut=by_order)
     cut = cut.withColumn("_seg", F.concat_ws(":", F.col(group).cast("string"), F.coalesce(F.col("_cut"), F.lit(-1)).cast("string")))
     again = running(cut, "_seg", order, F.col("_s"), "max", "bar")
     return again.where(F.col("_s").isNotNull() & (F.col("bar").isNull() | (F.col("_s") > F.col("bar")))).drop("_s", "_max", "_cut", "_seg")
@@ -43,8 +45,10 @@ def champion_fold(rows: DataFrame, group: str, order: str, mean: str, eligible:
     eligible means before it (had an earlier one been higher by then, it would have become champion), so only those records, few
     of all rows, go through the sequential fold, in a stream sorted by group and order that keeps one number for each task.
     """
-    flat = rows.withColumn("_e", F.when(eligible, F.col(mean)))
-    records = running(flat, group, order, F.col("_e"), "max", "_bar").where(F.col("_e").isNotNull() & (F.col("_bar").isNull() | (F.col("_e") > F.col("_bar"))))
+    # the rows are read several times and often come from an aggregation
+    flat, _ = materialize(rows.withColumn("_e", F.when(eligible, F.col(mean))), "fold")
+    cut = cut_of(flat, group, order)
+    records = running(flat, group, order, F.col("_e"), "max", "_bar", cut=cut).where(F.col("_e").isNotNull() & (F.col("_bar").isNull() | (F.col("_e") > F.col("_bar"))))
     small = records.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col("_e").alias("m")).repartition("g").sortWithinPartitions("g", "o")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,13 +65,14 @@ def champion_fold(rows: DataFrame, group: str, order: str, mean: str, eligible:
 
     won = small.mapInPandas(fold, small.schema).withColumnsRenamed({"g": "_wg", "o": "_wo", "m": "_wm"})
     both = flat.join(won, F.col(group).eqNullSafe(F.col("_wg")) & (F.col(order) == F.col("_wo")), "left").drop("_wg", "_wo")
-    return running(both, group, order, F.col("_wm"), "max", "champion_before").drop("_e", "_wm")
+    return running(both, group, order, F.col("_wm"), "max", "champion_before", cut=cut).drop("_e", "_wm")
 
 
 def plateau_counter(rows: DataFrame, group: str, order: str, promoted: Column, rejected: Column) -> DataFrame:
     """Adds plateau: rejections since the group's last promotion, this row included; other rows leave it as it is."""
-    total = running(rows, group, order, rejected.cast("long"), "sum", "_all", current=True)
-    at_promotion = running(total, group, order, F.when(promoted, F.col("_all")), "max", "_then", current=True)
+    cut = cut_of(rows, group, order)
+    total = running(rows, group, order, rejected.cast("long"), "sum", "_all", current=True, cut=cut)
+    at_promotion = running(total, group, order, F.when(promoted, F.col("_all")), "max", "_then", current=True, cut=cut)
     return at_promotion.withColumn("plateau", F.col("_all") - F.coalesce("_then", F.lit(0).cast("long"))).drop("_all", "_then")
 
 

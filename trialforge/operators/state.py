@@ -57,11 +57,12 @@ def health(problems: Column, degraded: Column) -> Column:
 
 def ticks(rows: DataFrame, order: str, every: int) -> DataFrame:
     """A snapshot's rows: every n-th step with the totals up to it. The log is one sequence: it is numbered in slices of its order."""
-    from trialforge.functions.skew import running
+    from trialforge.functions.skew import cut_of, running
 
     one = rows.withColumn("_lab", F.lit(1))
-    numbered = running(one, "_lab", order, F.lit(1).cast("long"), "sum", "step_count", current=True)
-    summed = running(numbered, "_lab", order, F.col("amount").cast("decimal(38,6)"), "sum", "total", current=True)
+    cut = cut_of(one, "_lab", order)
+    numbered = running(one, "_lab", order, F.lit(1).cast("long"), "sum", "step_count", current=True, cut=cut)
+    summed = running(numbered, "_lab", order, F.col("amount").cast("decimal(38,6)"), "sum", "total", current=True, cut=cut)
     return summed.where(F.pmod("step_count", F.lit(every)) == 0).select(order, "step_count", F.col("total").cast("double").alias("total"))
 
 

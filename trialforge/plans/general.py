@@ -242,7 +242,15 @@ SELECT id, '', -1, CASE WHEN id IN (SELECT id FROM reach WHERE id = up) THEN -1
        CASE WHEN id IN (SELECT id FROM reach WHERE id = up) THEN 1 ELSE 2 END
 FROM loose LEFT JOIN under USING (id)""",
     "p4_paths": f"{_TREE} SELECT id AS candidate_id, CAST(node_depth AS BIGINT) AS node_depth, node_path FROM down",
-    "p4_descendants": f"{_TREE}{_PAIRS} SELECT above AS ancestor_id, id AS candidate_id, CAST(node_depth - pos AS BIGINT) AS distance FROM pairs WHERE pos < node_depth",
+    "p4_descendants": f"""{_TREE},
+loose AS (SELECT * FROM edge WHERE id NOT IN (SELECT id FROM down)),
+reach AS (SELECT id, up FROM loose UNION SELECT r.id, l.up FROM reach r JOIN loose l ON r.up = l.id),
+ring AS (SELECT DISTINCT id FROM reach WHERE id = up),
+above AS (
+  SELECT id, up, 1 AS distance FROM edge WHERE up IS NOT NULL AND up NOT IN (SELECT id FROM ring)
+  UNION ALL
+  SELECT a.id, e.up, distance + 1 FROM above a JOIN edge e ON e.id = a.up WHERE e.up IS NOT NULL AND e.up NOT IN (SELECT id FROM ring))
+SELECT up AS ancestor_id, id AS candidate_id, CAST(distance AS BIGINT) AS distance FROM above""",
     "p5_found": f"""
 WITH cur AS (
   SELECT candidate_id, family, selection_eval FROM (
