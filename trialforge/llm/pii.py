@@ -83,7 +83,6 @@ _EMAIL = [
 
 _AT = _re(r"(?:@|[\(\[\{][ ]?(?i:at)[ ]?[\)\]\}])(?=[ ]?[\p{Latin}\p{M}\d-]+(?:\.|[ ]?[\(\[\{][ ]?(?i:dot|p)|[ ](?i:dot|p)))")
 _IN_LOCAL = _re(r"[\p{Latin}\p{M}\d_%+'.-]")
-_DOT = _re(_WORD_DOT, regex.I)
 
 # --- numbers ---------------------------------------------------------------------------------------------------------
 
@@ -203,6 +202,7 @@ _CUES = {
     # after a name, in any case
     "after": "said says signed reran approved confirmed wrote asked pointed reported resigned agreed replied aprobó firmó dijo confirmó sagte".split(),
     "mark": ["m.", "(or"],
+    "dot": "dot punkt punto point".split(),
     "street": _STREET_EN,
     "rue": sorted({*_STREET_FR, *_STREET_ES}),
 }
@@ -316,22 +316,22 @@ class Names:
         for at in [*(m.start() for m in _OTHER_AFTER.finditer(view)), *(a - 1 for a, _ in hits.get("after", ()) if view[a - 1 : a] == " ")]:
             if (n := _BACK.match(view, 0, at)) and (a := self._reach_back(n)) is not None:
                 propose(a, n.end())
-        # a name beside a name
-        for (a, b), score in sorted(found.items()):
-            if score < THRESHOLD and (m := _AND.match(view, b)):
-                other = max((x for (c, _), x in found.items() if c == m.end()), default=0.0)
-                if other >= THRESHOLD:
-                    found[a, b] = score + 0.3
-            elif score >= THRESHOLD and (m := _AND.match(view, b)):
-                for (c, e), x in found.items():
-                    if c == m.end() and x < THRESHOLD:
-                        found[c, e] = x + 0.3
-        # and one after another in a list
-        for (a, b), score in sorted(found.items()):
-            if found[a, b] >= THRESHOLD and (m := _LISTED.match(view, b)):
-                for (c, e), x in found.items():
-                    if c == m.end() and 0.3 <= x < THRESHOLD:
-                        found[c, e] = x + 0.2
+        # a name beside a name, and one after another in a list
+        begins: dict[int, list[tuple[int, int]]] = {}
+        for span in found:
+            begins.setdefault(span[0], []).append(span)
+        for span in sorted(found):
+            if m := _AND.match(view, span[1]):
+                others = begins.get(m.end(), [])
+                if found[span] >= THRESHOLD:
+                    for o in others:
+                        found[o] += 0.3 * (found[o] < THRESHOLD)
+                elif any(found[o] >= THRESHOLD for o in others):
+                    found[span] += 0.3
+        for span in sorted(found):
+            if found[span] >= THRESHOLD and (m := _LISTED.match(view, span[1])):
+                for o in begins.get(m.end(), []):
+                    found[o] += 0.2 * (0.3 <= found[o] < THRESHOLD)
         return [(a, b, x) for (a, b), x in found.items()]
 
     def _words(self, a: int, b: int) -> list[tuple[int, int, str]]:
@@ -513,7 +513,7 @@ class Finder:
                 a += 1
             if m := _EMAIL[0].match(view, a):
                 keep(m.start(), m.end(), "email", 0.9)
-        if _DOT.search(view):
+        if "dot" in hits:
             for m in _EMAIL[1].finditer(view):
                 keep(m.start(), m.end(), "email", 0.9)
         ends = {s[1] for s in spans}
