@@ -37,8 +37,8 @@ def top_n(rows: DataFrame, group: str, score: str, ident: str, n: int) -> DataFr
         names = ["part", "g", "i", "place", "n"]
         last, seen, last_id = None, 0, None
 
-        def count(g: list, k: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(g), pa.int32()), pa.array(g, pa.string()), pa.nulls(len(g), pa.string()), pa.nulls(len(g), pa.int64()), pa.array(k, pa.int64())], names)
+        def count(g: pa.Array, k: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), part, dtype=np.int32)), g, pa.nulls(len(g), pa.string()), pa.nulls(len(g), pa.int64()), pa.array(k, pa.int64())], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -60,14 +60,12 @@ def top_n(rows: DataFrame, group: str, score: str, ident: str, n: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), part, dtype=np.int32)), g.take(keep), i.take(keep), pa.array(place[keep.to_numpy()].astype(np.int64)), pa.nulls(len(keep), pa.int64())], names)
             if len(at):
                 # groups that ended in this batch: the one carried over, and all that began but the last
-                ended_g, ended_n = ([last], [seen + int(fresh[at[0] - 1]) if at[0] else seen]) if last is not None else ([], [])
-                for a, b in zip(at[:-1], at[1:]):
-                    ended_g.append(g[int(a)].as_py())
-                    ended_n.append(int(place[b - 1]))
-                yield count(ended_g, ended_n)
+                carried = [] if last is None else [seen + int(fresh[at[0] - 1]) if at[0] else seen]
+                ended = pa.concat_arrays([pa.array([last] * len(carried), pa.string()), g.take(pa.array(at[:-1])).cast(pa.string())])
+                yield count(ended, np.concatenate([np.array(carried, dtype=np.int64), place[at[1:] - 1].astype(np.int64)]))
             last, seen, last_id = g[size - 1].as_py(), int(place[size - 1]), i[size - 1].as_py()
         if last is not None:
-            yield count([last], [seen])
+            yield count(pa.array([last], pa.string()), np.array([seen], dtype=np.int64))
 
     # rows and counts must come from one run of the sort, as another might cut the ranges elsewhere
     out, _ = materialize(ordered.mapInArrow(work, "part int, g string, i string, place bigint, n bigint"), "ranges")

@@ -751,7 +751,7 @@ def _rejected(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FAILURES = """,
-texts AS (SELECT seq, pos, 0 AS w, gate_text AS t FROM gates WHERE pos <= 2 UNION ALL SELECT seq, pos, 1, second_text FROM gates WHERE pos <= 2),
+texts AS (SELECT seq, pos, 0 AS w, gate_text AS t FROM gates UNION ALL SELECT seq, pos, 1, second_text FROM gates),
 firsts AS (SELECT seq, t FROM texts WHERE w = 0 AND seq % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY pos, t) = 1)"""
 _GATES = _FAILURES + f""",
 hits AS (
@@ -912,7 +912,8 @@ def interval_purge(spark: SparkSession, d: str) -> DataFrame:
     return temporal.purged(i.where("id % 100 <> 0"), i.where("id % 100 = 0"), "a", "b", 2, 30).select("id")
 
 
-@query(_with(("experiments",), """, w AS (SELECT CAST(k AS BIGINT) AS fold, 0 AS a, 24 + k * 12 AS b, 25 + k * 12 AS c, 31 + k * 12 AS e FROM (SELECT unnest(range(0, 4)) AS k))
+@query(_with(("experiments",), """, e AS (SELECT min(cycle) AS a, max(cycle) + 1 AS z FROM experiments),
+w AS (SELECT CAST(k AS BIGINT) AS fold, a, a + 24 + k * 12 AS b, a + 25 + k * 12 AS c, a + 31 + k * 12 AS e FROM e, (SELECT unnest(range(0, (SELECT z - a FROM e))) AS k) WHERE a + 31 + k * 12 <= z)
 SELECT fold, round(avg(composite_score) FILTER (WHERE cycle >= a AND cycle < b), 6) AS train_mean, round(avg(composite_score) FILTER (WHERE cycle >= c AND cycle < e), 6) AS test_mean FROM w, experiments GROUP BY fold"""))
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """F16: expanding windows with a dead zone before each test window."""
