@@ -40,6 +40,14 @@ def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, lookup_join(child, target, "parent", "id", hot_keys(child, "parent")).select("v", "up")
 
 
+def _on_rings(far: DataFrame) -> bool:
+    """Whether the ends of all pointers lie on rings: then the jump takes no two of them to one node."""
+    ends = far.select(F.col("anc").alias("v")).distinct()
+    told = far.join(ends, "v", "left_semi").select("anc").distinct().select(F.lit(1).alias("n"), F.lit(0).alias("m"))
+    counts = told.unionByName(ends.select(F.lit(0).alias("n"), F.lit(1).alias("m"))).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).first()
+    return counts["n"] == counts["m"]
+
+
 def _one_up() -> Column:
     return F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist")
 
@@ -51,32 +59,30 @@ def _rounds(start: DataFrame, extra: dict) -> tuple[DataFrame, DataFrame, int]:
     A round carries and writes only the nodes that are exactly `step` below their pointer's end. All others are resolved: they stay
     in the table of the round that resolved them, where later rounds look up the ends of pointers. So each node is in one table with
     its last pointer, and what a round added to the sizes can be read from its table too. A round is one small job, which counts
-    the nodes still to resolve and finds the ends that many of them point to, and one that writes. The ends are only told apart
-    once a round has resolved nothing.
+    the nodes still to resolve and finds the ends that many of them point to, and one that writes. Whether the ends are all on rings
+    is only asked once a round has resolved nothing.
     """
     now, _ = materialize(start, "pointers")
     names = ["v", "anc", "dist", *extra]
     settled, gains = [], []
-    step, before, ends = 1, None, None
+    step, before = 1, None
     for _ in range(MOST_ROUNDS):
         far = now.where(F.col("dist") == step)
         n, hot = counted_hot_keys(far, "anc")
         if n == 0:
             break
-        if n == before:
-            count = far.select("anc").distinct().count()
-            if count == ends:
-                break
-            ends = count
+        if n == before and _on_rings(far):
+            break
         before = n
         known = now.select(names)
         for table in settled:
             known = known.unionByName(table)
         known = known.select(F.col("v").alias("_end"), *[F.col(c).alias(f"_{c}") for c in names[1:]])
-        gain = far.groupBy(F.col("anc").alias("v")).agg(F.sum("size").alias("gain"))
         joined = {c: f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in extra.items()}
         moved = lookup_join(far, known, "anc", "_end", hot).select("v", F.col("_anc").alias("anc"), (F.col("dist") + F.col("_dist")).alias("dist"), "size", *joined.values())
-        grown = moved.join(gain, "v", "left").select(*names, (F.col("size") + F.coalesce("gain", F.lit(0.0))).alias("size"))
+        # moved pointers and what their ends gain meet in one aggregation; the ends that are resolved get theirs from the tables later
+        gain = far.select(F.col("anc").alias("v"), *[F.lit(None).cast(t).alias(c) for c, t in far.dtypes if c in names[1:]], "size")
+        grown = moved.unionByName(gain).groupBy("v").agg(*[F.max(c).alias(c) for c in names[1:]], F.sum("size").alias("size")).where("anc is not null")
         settled.append(now.where(F.col("dist") != step).select(names))
         gains.append(far.select(F.col("anc").alias("v"), "size"))
         now, _ = materialize(grown, "pointers")
