@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,13 +78,52 @@ def candidate_id(family: Column, operator: Column, sign: Column) -> Column:
     return F.concat_ws("_", family, operator, sign)
 
 
+#: What is left to resolve goes through one task once it has no more links than this.
+FEW = 20_000
+
+
+def _rest(links: DataFrame, baseline: str) -> DataFrame:
+    """candidate_id, config and config_patch of what can be resolved of a few links (candidate_id, pos, parent, config, parent_patch) and
+    own patches, in one task, each after its parents; candidates on or below rings stay out."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[str, str | None] = {}
+        above: dict[str, list] = {}
+        below: dict[str, list[str]] = {}
+        for b in batches:
+            for c, pos, parent, config, patch, mine in zip(b["candidate_id"], b["pos"], b["parent"], b["config"], b["parent_patch"], b["config_patch"]):
+                own[c] = mine
+                above.setdefault(c, []).append((pos, parent, config, patch))
+                if config is None:
+                    below.setdefault(parent, []).append(c)
+        open_ = {c: sum(x[2] is None for x in links) for c, links in above.items()}
+        ready, done, out = [c for c, n in open_.items() if not n], {}, []
+        while ready:
+            c = ready.pop()
+            x: object = _object(baseline)
+            for _, parent, config, patch in sorted(above[c], key=lambda x: x[0]):
+                x = merged(x, _object(config) if config is not None else done[parent])
+                x = merged(x, _object(patch if config is not None else own[parent]))
+            done[c] = merged(x, _object(own[c]))
+            out.append((c, _dump(done[c]), own[c]))
+            for child in below.get(c, ()):
+                open_[child] -= 1
+                if not open_[child]:
+                    ready.append(child)
+        yield pd.DataFrame(out, columns=["candidate_id", "config", "config_patch"])
+
+    kind = dict(links.dtypes)["candidate_id"]
+    return links.repartition(1).mapInPandas(work, f"candidate_id {kind}, config string, config_patch string")
+
+
 def resolved(candidates: DataFrame, baseline: str) -> DataFrame:
     """candidate_id and config: the baseline, then each parent's resolved configuration and patch in the parents' order, then the
     own patch. Level by level, so a shared ancestor is resolved once. candidates has candidate_id, parent_ids and config_patch.
 
     As every parent comes with the baseline, what a later parent takes from it replaces an earlier parent's values. Parents that
     aren't there add nothing; candidates on or below rings stay out. Levels end when one resolves nothing: what is left then waits
-    for a ring. Levels and the links still open are written to the shared folder, so plans stay as long as at the first level.
+    for a ring. Levels and the links still open are written to the shared folder, so plans stay as long as at the first level. Once few
+    links are open, as on long thin chains, the rest is resolved in one task.
     """
     spark, base = candidates.sparkSession, F.lit(baseline)
     candidates, _ = materialize(candidates.select("candidate_id", "parent_ids", "config_patch"), "candidates")
@@ -101,6 +141,10 @@ def resolved(candidates: DataFrame, baseline: str) -> DataFrame:
         filled, filled_path = materialize(left.select("candidate_id", "pos", "parent", F.coalesce("config", "_config").alias("config"), F.coalesce("parent_patch", "_patch").alias("parent_patch")), "links")
         discard(spark, path)
         waiting, path = filled, filled_path
+        if waiting.limit(FEW + 1).count() <= FEW:
+            few = waiting.join(candidates.select("candidate_id", "config_patch"), "candidate_id")
+            levels.append(materialize(_rest(few, baseline), "level")[1])
+            break
         ready = waiting.groupBy("candidate_id").agg(F.every(F.col("config").isNotNull()).alias("ok"), F.array_sort(F.collect_list(F.struct("pos", "config", "parent_patch"))).alias("l")).where("ok")
         layers = F.concat(F.array(base), F.flatten(F.transform("l", lambda x: F.array(x["config"], x["parent_patch"]))), F.array("config_patch"))
         new, level = materialize(candidates.join(ready, "candidate_id").select("candidate_id", deep_merge_all(layers).alias("config"), "config_patch"), "level")

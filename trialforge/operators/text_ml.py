@@ -6,6 +6,7 @@ Term weights follow the usual smoothed form: idf = ln((1 + n) / (1 + df)) + 1, r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
@@ -14,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.functions.lineage import materialize
+from trialforge.functions.lineage import materialize, together
 from trialforge.functions.partitions import spread
 from trialforge.functions.text import WHITE_SPACE
 
@@ -126,18 +127,17 @@ def calibrated(prepared: DataFrame, fit_on: Column, folds: int = 2, of: float |
     fitted, for each label, on the margins of rows that the model of their fold hasn't seen; averaged over the folds, scaled to 1."""
     train = prepared.where(fit_on).withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
     labels = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
-    every = None
-    for k in range(folds):
-        for y in labels:
-            target = (F.col("label") == y).cast("double")
-            svm = LinearSVC(maxIter=10, regParam=0.01, labelCol="_y", rawPredictionCol="_raw", predictionCol="_p").fit(train.where(F.col("_fold") != k).withColumn("_y", target))
-
-            def margin(df: DataFrame, svm=svm) -> DataFrame:
-                return svm.transform(df).withColumn("_m", array_to_vector(F.array(vector_to_array("_raw")[1])))
-
-            sigmoid = LogisticRegression(featuresCol="_m", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_r2", predictionCol="_p2").fit(margin(train.where(F.col("_fold") == k).withColumn("_y", target)))
-            scored = sigmoid.transform(margin(prepared)).select("doc_id", F.lit(y).alias("class"), vector_to_array("_pr")[1].alias("p"))
-            every = scored if every is None else every.unionByName(scored)
+
+    def scored(k: int, y: float) -> DataFrame:
+        target = (F.col("label") == y).cast("double")
+        svm = LinearSVC(maxIter=10, regParam=0.01, labelCol="_y", rawPredictionCol="_raw", predictionCol="_p").fit(train.where(F.col("_fold") != k).withColumn("_y", target))
+        margin = lambda df: svm.transform(df).withColumn("_m", array_to_vector(F.array(vector_to_array("_raw")[1])))
+        sigmoid = LogisticRegression(featuresCol="_m", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_r2", predictionCol="_p2").fit(margin(train.where(F.col("_fold") == k).withColumn("_y", target)))
+        return sigmoid.transform(margin(prepared)).select("doc_id", F.lit(y).alias("class"), vector_to_array("_pr")[1].alias("p"))
+
+    # a fit for each fold and label, side by side
+    parts = together(*[partial(scored, k, y) for k in range(folds) for y in labels])
+    every = reduce(DataFrame.unionByName, parts)
     means = every.groupBy("doc_id", "class").agg(F.avg("p").alias("p"))
     total = means.groupBy("doc_id").agg(F.sum("p").alias("_all"), F.max_by("class", "p").alias("prediction"))
     rest = [c for c in prepared.columns if c != "features"]

@@ -733,6 +733,20 @@ def resolved_config(spark: SparkSession, d: str) -> DataFrame:
     return configs.resolved(c, '{"model": {"depth": 1, "type": "base"}}')
 
 
+@query("""SELECT 'c' || n_nationkey AS candidate_id, '{"model": {"depth": 1}, "seed": ' || n_nationkey || '}' AS config FROM nation""")
+def crossover_config(spark: SparkSession, d: str) -> DataFrame:
+    """The configuration of a candidate with two parents. Each parent comes with the baseline, so where the second has the
+    baseline's value it replaces what the first had patched: the depth is lost, the seed stays."""
+    k = F.col("n_nationkey").cast("string")
+    none = F.array().cast("array<string>")
+    row = lambda kind, parents, patch: F.struct(F.concat(F.lit(kind), k).alias("candidate_id"), parents.alias("parent_ids"), patch.alias("config_patch"))
+    first = row("a", none, F.concat(F.lit('{"model": {"depth": 9'), k, F.lit("}}")))
+    second = row("b", none, F.concat(F.lit('{"seed": '), k, F.lit("}")))
+    child = row("c", F.array(F.concat(F.lit("a"), k), F.concat(F.lit("b"), k)), F.lit("{}"))
+    c = table(spark, d, "nation").select(F.explode(F.array(first, second, child)).alias("x")).select("x.*")
+    return configs.resolved(c, '{"model": {"depth": 1}, "seed": 0}').where("candidate_id like 'c%'")
+
+
 # --- detectors ----------------------------------------------------------------------------------------------------------
 
 
