@@ -11,8 +11,9 @@ from pyspark.sql.window import WindowSpec
 
 from trialforge.functions.lineage import materialize
 
-#: At most so many keys are treated as hot; with a sketch of TRACKED entries every key above 1/TRACKED*4/3 of the rows is seen.
-MAX_HOT, TRACKED = 256, 4096
+#: At most so many keys are treated as hot: one that is not among them holds less than 1/MAX_HOT of the rows. With a sketch of TRACKED
+#: entries every key above 1/TRACKED*4/3 of the rows is seen.
+MAX_HOT, TRACKED = 1024, 8192
 
 
 def counted_hot_keys(df: DataFrame, key: str, share: float | None = None) -> tuple[int, list]:
