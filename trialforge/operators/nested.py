@@ -338,8 +338,10 @@ class Documents:
             split = both.withColumn("free", F.explode(F.array(F.lit(True), F.lit(False))))
             own = F.when(F.col("free"), F.array_intersect("met", caught)).otherwise(F.array_except("met", caught))
             split = split.withColumn("alive", own).where(F.size("alive") > 0).withColumn("captures", F.when(F.col("free"), F.concat("captures", F.array("place"))).otherwise(F.col("captures")))
-            level, _ = materialize(split.select("column", "root", "alive", "captures", F.col("_at").alias("parent"), "node", "kind", "value", F.col("below").alias("at")), "walk")
+            level = split.select("column", "root", "alive", "captures", F.col("_at").alias("parent"), "node", "kind", "value", F.col("below").alias("at"))
             if ends:
+                # read by the next step and by the results
+                level, _ = materialize(level, "walk")
                 rules = F.create_map(*[x for i, rule in ends for x in (F.lit(i), F.lit(rule))])
                 done = level.select("*", F.explode(F.array_intersect("alive", F.array(*[F.lit(i) for i, _ in ends]))).alias("i"))
                 done = done.select("column", "root", rules[F.col("i")].alias("rule"), "captures", "parent", "node", "kind", "value")
