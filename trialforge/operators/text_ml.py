@@ -6,15 +6,14 @@ Term weights follow the usual smoothed form: idf = ln((1 + n) / (1 + df)) + 1, r
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial, reduce
+from functools import partial
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialforge.functions import terms
 from trialforge.functions.lineage import materialize, together
 from trialforge.functions.partitions import spread
 from trialforge.functions.text import WHITE_SPACE
@@ -84,18 +83,6 @@ def macro_scores(predictions: DataFrame, group: Sequence[str], truth: str, guess
     return per.groupBy(*group).agg(F.avg(2.0 * F.col("tp") / F.col("both")).alias("macro_f1"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.sum("support").alias("n_rows"))
 
 
-def features(words: int = 2000, min_df: int = 2, n: int = 2, chars: tuple[int, int] | None = (3, 5)) -> tuple[list, list[tuple[str, Column]]]:
-    """ML stages from the columns `words` and `chars` to `features`, and those columns' expressions over `text`."""
-    inputs = [("words", ngrams(word_tokens(F.col("text")), n))]
-    stages = [CountVectorizer(inputCol="words", outputCol="wc", vocabSize=words, minDF=min_df), IDF(inputCol="wc", outputCol="wi"), Normalizer(inputCol="wi", outputCol="wn")]
-    joined = ["wn"]
-    if chars:
-        inputs.append(("chars", char_ngrams(F.col("text"), *chars)))
-        stages += [CountVectorizer(inputCol="chars", outputCol="cc", vocabSize=max(1, words // 2), minDF=min_df), IDF(inputCol="cc", outputCol="ci"), Normalizer(inputCol="ci", outputCol="cn")]
-        joined.append("cn")
-    return [*stages, VectorAssembler(inputCols=joined, outputCol="features")], inputs
-
-
 def estimator(kind: str):
     """Logistic regression, a linear SVM for each label or multinomial naive Bayes."""
     made = {
@@ -106,13 +93,14 @@ def estimator(kind: str):
     return made[kind]()
 
 
-def vectors(rows: DataFrame, fit_on: Column, **options) -> DataFrame:
-    """rows with their features, made by stages that are fitted on the rows of fit_on only. They are written to the shared folder, as
-    every iteration of every fit reads them."""
-    stages, inputs = features(**options)
-    flat, _ = materialize(spread(rows).withColumns(dict(inputs)), "terms")
-    made = Pipeline(stages=stages).fit(flat.where(fit_on)).transform(flat).select(*rows.columns, "features")
-    return materialize(made, "vectors")[0]
+def vectors(rows: DataFrame, fit_on: Column, words: int = 2000, min_df: int = 2, n: int = 2, chars: tuple[int, int] | None = (3, 5)) -> DataFrame:
+    """rows with `features` in place of their `text`: scaled weights of the `words` commonest runs of 1 to n words, and of half as many runs
+    of characters. Terms and their weights are taken from the rows of fit_on only. Counts are written to the shared folder once; the
+    weights are made from them as they are read."""
+    rest = [c for c in rows.columns if c != "text"]
+    lowered = spread(rows.select(*rest, F.coalesce(fit_on, F.lit(False)).alias("_fit"), F.lower(F.coalesce("text", F.lit(""))).alias("_text")))
+    kinds = [terms.Kind("words", words, 1, n)] + ([terms.Kind("chars", max(1, words // 2), *chars)] if chars else [])
+    return terms.weighted(lowered, rest, kinds, min_df)
 
 
 def classify(prepared: DataFrame, kind: str, fit_on: Column) -> DataFrame:
@@ -125,20 +113,35 @@ def classify(prepared: DataFrame, kind: str, fit_on: Column) -> DataFrame:
 def calibrated(prepared: DataFrame, fit_on: Column, folds: int = 2, of: float | None = None) -> DataFrame:
     """Rows of `vectors` with a prediction and the probability of the label `of` (of their own if none is given) from a linear SVM, calibrated by a sigmoid that is
     fitted, for each label, on the margins of rows that the model of their fold hasn't seen; averaged over the folds, scaled to 1."""
-    train = prepared.where(fit_on).withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
-    labels = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
-
-    def scored(k: int, y: float) -> DataFrame:
-        target = (F.col("label") == y).cast("double")
-        svm = LinearSVC(maxIter=10, regParam=0.01, labelCol="_y", rawPredictionCol="_raw", predictionCol="_p").fit(train.where(F.col("_fold") != k).withColumn("_y", target))
-        margin = lambda df: svm.transform(df).withColumn("_m", array_to_vector(F.array(vector_to_array("_raw")[1])))
-        sigmoid = LogisticRegression(featuresCol="_m", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_r2", predictionCol="_p2").fit(margin(train.where(F.col("_fold") == k).withColumn("_y", target)))
-        return sigmoid.transform(margin(prepared)).select("doc_id", F.lit(y).alias("class"), vector_to_array("_pr")[1].alias("p"))
-
-    # a fit for each fold and label, side by side
-    parts = together(*[partial(scored, k, y) for k in range(folds) for y in labels])
-    every = reduce(DataFrame.unionByName, parts)
-    means = every.groupBy("doc_id", "class").agg(F.avg("p").alias("p"))
-    total = means.groupBy("doc_id").agg(F.sum("p").alias("_all"), F.max_by("class", "p").alias("prediction"))
     rest = [c for c in prepared.columns if c != "features"]
-    return prepared.drop("features").join(total, "doc_id").join(means, ["doc_id"]).where(F.col("class") == (F.col("label") if of is None else F.lit(of))).select(*rest, "prediction", (F.col("p") / F.col("_all")).alias("probability"))
+    parts = prepared.withColumns({"_fit": F.coalesce(fit_on, F.lit(False)), "_fold": F.pmod(F.xxhash64("doc_id"), F.lit(folds))})
+    labels = [r["label"] for r in parts.where("_fit").select("label").distinct().orderBy("label").collect()]
+    # of two labels one's model is the other's with its sign turned
+    models = [(k, y) for k in range(folds) for y in (labels[1:] if len(labels) == 2 else labels)]
+
+    def svm(i: int, k: int, y: float):
+        made = LinearSVC(maxIter=10, regParam=0.01, labelCol="_y", rawPredictionCol=f"_raw{i}", predictionCol=f"_p{i}")
+        return made.fit(parts.where(F.col("_fit") & (F.col("_fold") != k)).select("features", (F.col("label") == y).cast("double").alias("_y")))
+
+    # a fit for each fold and label, side by side; their margins are told in one reading and written
+    scored = parts
+    for model in together(*[partial(svm, i, k, y) for i, (k, y) in enumerate(models)]):
+        scored = model.transform(scored)
+    margins, _ = materialize(scored.select(*rest, "_fit", "_fold", *[vector_to_array(f"_raw{i}")[1].alias(f"_m{i}") for i in range(len(models))]), "margins")
+
+    def sigmoid(i: int, k: int, y: float) -> Column:
+        unseen = margins.where(F.col("_fit") & (F.col("_fold") == k)).select(array_to_vector(F.array(f"_m{i}")).alias("_m"), (F.col("label") == y).cast("double").alias("_y"))
+        fitted = LogisticRegression(featuresCol="_m", labelCol="_y").fit(unseen)
+        return 1.0 / (1.0 + F.exp(-(F.col(f"_m{i}") * F.lit(float(fitted.coefficients[0])) + F.lit(float(fitted.intercept)))))
+
+    p: dict[float, list[Column]] = {y: [] for y in labels}
+    for (_, y), c in zip(models, together(*[partial(sigmoid, i, k, y) for i, (k, y) in enumerate(models)])):
+        p[y].append(c)
+    if len(labels) == 2:
+        p[labels[0]] = [1.0 - c for c in p[labels[1]]]
+    means = margins.withColumns({f"_mean{j}": sum(p[y][1:], p[y][0]) / folds for j, y in enumerate(labels)})
+    every = [F.col(f"_mean{j}") for j in range(len(labels))]
+    best, wanted = F.array(*every), F.col("label") if of is None else F.lit(of)
+    chosen = F.element_at(F.array(*[F.lit(y) for y in labels]), F.array_position(best, F.array_max(best)).cast("int"))
+    of_wanted = F.coalesce(*[F.when(wanted == y, c) for y, c in zip(labels, every)])
+    return means.select(*rest, chosen.alias("prediction"), (of_wanted / sum(every[1:], every[0])).alias("probability")).where("probability IS NOT NULL")
