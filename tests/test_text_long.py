@@ -24,3 +24,11 @@ def test_classifiers_with_a_long_text(spark, folder):
     rows = texts.text_classifiers(spark, folder).collect()
     assert time.perf_counter() - began < 120
     assert sorted((r.kind, r.doc_id) for r in rows) == sorted((k, i) for k in ("bayes", "logistic", "svm") for i in held_out)
+
+
+def test_scores_with_a_long_text(spark, folder):
+    held_out = texts._labelled(spark, folder).where("not train").count()
+    began = time.perf_counter()
+    scores = texts.text_scores(spark, folder).collect()
+    assert time.perf_counter() - began < 120
+    assert {r.kind: r.n_rows for r in scores} == dict.fromkeys(("bayes", "logistic", "svm"), held_out)
