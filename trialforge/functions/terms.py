@@ -253,23 +253,53 @@ def _documents(size: int):
     return run
 
 
-def _weights(idf: np.ndarray, kinds: np.ndarray, kept: np.ndarray, parts: int):
+class Counts(NamedTuple):
+    """A table with the places and uses of the terms found in each row; weights, kinds and the places of those kept, the `parts` kinds one
+    after the other."""
+
+    table: DataFrame
+    idf: np.ndarray
+    kinds: np.ndarray
+    kept: np.ndarray
+    parts: int
+
+    @property
+    def bounds(self) -> list[tuple[int, int]]:
+        """Where the terms of each kind begin and end among those kept."""
+        ends = np.searchsorted(self.kinds[self.kept], np.arange(self.parts + 1)).tolist()
+        return list(zip(ends, ends[1:]))
+
+    def reader(self):
+        """Reads the two columns of counts: row, place among the terms kept, uses and kind's part of the row for each use of a kept term, and
+        the length of each part of each row."""
+        column = np.full(len(self.idf), -1, np.int32)
+        column[self.kept] = np.arange(len(self.kept), dtype=np.int32)
+        idf, kinds, parts, every = self.idf, self.kinds, self.parts, len(self.kept) == len(self.idf)
+
+        def read(lists: pa.ListArray, counts: pa.ListArray):
+            n, places, uses = len(lists), _flat(lists), _flat(counts)
+            of = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            if not every:
+                left = column[places] >= 0
+                places, uses, of = places[left], uses[left], of[left]
+            weights = uses * idf[places]
+            part = of * parts + kinds[places]
+            norm = np.sqrt(np.bincount(part, weights * weights, n * parts))
+            return of, column[places], uses, weights, part, np.where(norm > 0, norm, 1.0)
+
+        return read
+
+
+def _weights(counts: Counts):
     """The counts in the last two columns as vectors of uses times idf of the terms kept, the part of each kind scaled to length 1."""
-    column = np.full(len(idf), -1, np.int32)
-    column[kept] = np.arange(len(kept), dtype=np.int32)
-
-    def vectors(lists: pa.ListArray, counts: pa.ListArray) -> pa.StructArray:
-        n, places, uses = len(lists), _flat(lists), _flat(counts)
-        of = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
-        if len(kept) < len(idf):
-            left = column[places] >= 0
-            places, uses, of = places[left], uses[left], of[left]
-        weights = uses * idf[places]
-        part = of * parts + kinds[places]
-        norm = np.sqrt(np.bincount(part, weights * weights, n * parts))
-        weights /= np.where(norm > 0, norm, 1.0)[part]
+    read, size = counts.reader(), len(counts.kept)
+
+    def vectors(lists: pa.ListArray, uses: pa.ListArray) -> pa.StructArray:
+        n = len(lists)
+        of, places, _, weights, part, norm = read(lists, uses)
+        weights /= norm[part]
         ends = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
-        made = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(kept), np.int32)), pa.ListArray.from_arrays(ends, pa.array(column[places])), pa.ListArray.from_arrays(ends, pa.array(weights))]
+        made = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(ends, pa.array(places)), pa.ListArray.from_arrays(ends, pa.array(weights))]
         return pa.StructArray.from_arrays(made, names=["type", "size", "indices", "values"])
 
     def run(batches):
@@ -282,9 +312,9 @@ def _weights(idf: np.ndarray, kinds: np.ndarray, kept: np.ndarray, parts: int):
     return run
 
 
-def weighted(lowered: DataFrame, rest: list[str], kinds: list[Kind], min_df: int) -> DataFrame:
-    """The columns `rest` and `features`, from `_text` in lower case; `_fit` tells the rows that terms and weights are taken from. A term in
-    fewer than min_df of them gives its place to the next."""
+def counted(lowered: DataFrame, rest: list[str], kinds: list[Kind], min_df: int) -> Counts:
+    """The columns `rest`, `_fit` and the counts of terms, from `_text` in lower case; `_fit` tells the rows that terms and weights are taken
+    from. A term in fewer than min_df of them gives its place to the next."""
     fit = lowered.where("_fit")
     counts = ArrayType(IntegerType())
     wanted = kinds
@@ -306,5 +336,10 @@ def weighted(lowered: DataFrame, rest: list[str], kinds: list[Kind], min_df: int
     idf = np.zeros(size)
     kept = np.concatenate(kept)
     idf[kept] = np.log((seen.get(-1, 0) + 1.0) / (docs[kept] + 1.0))
-    out = StructType([lowered.schema[c] for c in rest] + [StructField("features", VectorUDT())])
-    return table.select(*rest, "_places", "_uses").mapInArrow(_weights(idf, kind, kept, len(kinds)), out)
+    return Counts(table, idf, kind, kept, len(kinds))
+
+
+def weighted(counts: Counts, rest: list[str]) -> DataFrame:
+    """The columns `rest` and `features`."""
+    out = StructType([counts.table.schema[c] for c in rest] + [StructField("features", VectorUDT())])
+    return counts.table.select(*rest, "_places", "_uses").mapInArrow(_weights(counts), out)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import time
 import uuid
-from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.functions.lineage import shared_folder, together
+from trialforge.functions.lineage import shared_folder
 from trialforge.functions.text import WHITE_SPACE, folded
 from trialforge.operators import text_ml
 from trialforge.plans.reference import _current
@@ -95,12 +94,9 @@ FEATURES = {"words": 800, "min_df": 1, "n": 2, "chars": (3, 4)}
 @query()
 def text_classifiers(spark: SparkSession, d: str) -> DataFrame:
     """K1-K4, K6: the language of held-out texts by three classifiers, with their scores by macro_scores."""
-    prepared = text_ml.vectors(_labelled(spark, d), F.col("train"), **FEATURES).drop("text")
-
-    def held_out(kind: str) -> DataFrame:
-        return text_ml.classify(prepared, kind, F.col("train")).where("not train").select(F.lit(kind).alias("kind"), "doc_id", F.col("label").cast("int").alias("label"), "prediction")
-
-    return reduce(DataFrame.unionByName, together(*[partial(held_out, kind) for kind in ("logistic", "svm", "bayes")]))
+    counts = text_ml.vectors(_labelled(spark, d), F.col("train"), **FEATURES, weigh=False)
+    out = text_ml.classify(counts, ["doc_id", "label"])
+    return out.select("kind", "doc_id", F.col("label").cast("int").alias("label"), "prediction")
 
 
 @query()
