@@ -8,6 +8,7 @@ keeps a step within its orthant. Spark reads the rows anew for each model and st
 from __future__ import annotations
 
 from collections.abc import Generator, Iterator
+from contextlib import contextmanager
 from math import isqrt
 from typing import NamedTuple
 
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from trialforge.functions.terms import DOCS, Counts
+from trialforge.functions.terms import BLOCK, DOCS, Counts, blocks_of
 
-# Spark's defaults: the tolerance, the steps remembered; and the sums that the driver takes at once.
-TOLERANCE, REMEMBERED, AT_ONCE = 1e-6, 10, 64
+# Spark's defaults: the tolerance, the steps remembered; the sums that the driver takes at once; and the blocks that Python is sent at once.
+TOLERANCE, REMEMBERED, AT_ONCE, SENT = 1e-6, 10, 64, 8
 
 Answer = tuple[float, np.ndarray]
 
@@ -162,11 +163,10 @@ def _packed(counts: Counts):
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, DOCS):
-                part = batch.slice(start, DOCS)
-                of, places, uses, _, _, norm = read(part.column(1), part.column(2))
-                small = np.min_scalar_type(uses.max(initial=0))
-                made = [part.column(0).to_numpy(zero_copy_only=False).astype(np.int32), np.bincount(of, minlength=part.num_rows).astype(np.uint32), places.astype(narrow), uses.astype(small), 1.0 / norm]
+            for (labels,), counted in blocks_of(batch, 1):
+                n = len(labels)
+                of, places, uses, _, _, norm = read(*counted, n)
+                made = [labels.to_numpy(zero_copy_only=False).astype(np.int32), np.bincount(of, minlength=n).astype(np.uint32), places.astype(narrow), uses.astype(np.min_scalar_type(int(uses.max(initial=0)))), 1.0 / norm]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], names=PACKED)
 
     return run, narrow
@@ -289,19 +289,38 @@ class Fitted(NamedTuple):
     kinds: dict[str, tuple[int, int, list[int]]]
 
 
+@contextmanager
+def _kept(blocks: DataFrame) -> Iterator[None]:
+    """Blocks are kept to be read again and again, and Python is sent a few at once: Spark's ten thousand rows are a whole partition of
+    blocks, for which Python would wait."""
+    conf, key = blocks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, SENT)
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        blocks.unpersist()
+        conf.set(key, before)
+
+
 def fitted(counts: Counts, label: str, reg: float = 0.01, logistic_steps: int = 20, svm_steps: int = 10) -> Fitted:
     """The models of the rows of `_fit`: logistic, svm, bayes. Their labels are whole numbers from 0."""
     rows = counts.table.where("_fit")
-    n_of = {int(r[label]): r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_of = {int(r[label]): r["n"] for r in rows.select(F.explode(label).alias(label)).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n_of:
         raise ValueError("no rows to fit a classifier on")
     size, n, classes, seen = len(counts.kept), sum(n_of.values()), max(n_of) + 1, sorted(n_of)
     if len(seen) == 1:
         return Fitted(np.zeros((size, 3)), np.zeros(3), {k: (i, i + 1, seen) for i, k in enumerate(("logistic", "svm", "bayes"))})
     pack, narrow = _packed(counts)
-    blocks = rows.select(label, "_places", "_uses").mapInArrow(pack, ", ".join(f"{c} binary" for c in PACKED)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tasks = blocks.rdd.getNumPartitions()
+    blocks = rows.select(label, *BLOCK).mapInArrow(pack, ", ".join(f"{c} binary" for c in PACKED))
+    tasks, cores = blocks.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    if cores < tasks < 4 * cores:
+        # parts of unlike size in two or three goes leave cores idle at each step
+        tasks = 2 * cores
+        blocks = blocks.repartition(tasks)
+    with _kept(blocks):
         idf = counts.idf[counts.kept]
         moments = _total(blocks.mapInArrow(_moments(counts, narrow, classes), "sums binary"), tasks, (classes + 1, size))
         by_label = moments[:classes] * idf
@@ -333,8 +352,6 @@ def fitted(counts: Counts, label: str, reg: float = 0.01, logistic_steps: int =
                 except StopIteration as end:
                     ends[i] = end.value.reshape(size + 1, -1)
                     del points[i]
-    finally:
-        blocks.unpersist()
     scaled = np.hstack([ends[i] for i in range(len(asked))])
     weights, bias = scaled[:size] * (scale * idf)[:, None], scaled[size] - centre @ scaled[:size]
     if classes == 2:
@@ -347,20 +364,20 @@ def fitted(counts: Counts, label: str, reg: float = 0.01, logistic_steps: int =
 
 
 def guesses(counts: Counts, model: Fitted, rows: DataFrame, rest: list[str]) -> DataFrame:
-    """kind, the columns `rest` and prediction: a row for each of the counts' `rows` and kind of model."""
+    """kind, the columns `rest` and prediction: a row for each of the rows in `rows`, blocks of the counts, and kind of model."""
     read, size, bounds, parts = counts.reader(), len(counts.kept), counts.bounds, counts.parts
     kept = len(rest)
 
     def run(batches):
         made = Blocks(size)
         for batch in batches:
-            for start in range(0, batch.num_rows, DOCS):
-                part = batch.slice(start, DOCS)
-                of, places, uses, _, _, norm = read(part.column(kept), part.column(kept + 1))
-                margins = _margins(made.filled(part.num_rows, of, places, uses), 1.0 / norm.reshape(-1, parts), bounds, model.weights, model.bias)
+            for own, counted in blocks_of(batch, kept):
+                n = len(own[0])
+                of, places, uses, _, _, norm = read(*counted, n)
+                margins = _margins(made.filled(n, of, places, uses), 1.0 / norm.reshape(-1, parts), bounds, model.weights, model.bias)
                 for kind, (a, b, labels) in model.kinds.items():
                     guess = np.array(labels, np.int32)[margins[:, a:b].argmax(axis=1)]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * part.num_rows, pa.string()), *[part.column(i) for i in range(kept)], pa.array(guess)], names=["kind", *rest, "prediction"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), *own, pa.array(guess)], names=["kind", *rest, "prediction"])
 
-    schema = StructType([StructField("kind", StringType()), *[rows.schema[c] for c in rest], StructField("prediction", IntegerType())])
-    return rows.select(*rest, "_places", "_uses").mapInArrow(run, schema)
+    schema = StructType([StructField("kind", StringType()), *[StructField(c, rows.schema[c].dataType.elementType) for c in rest], StructField("prediction", IntegerType())])
+    return rows.select(*rest, *BLOCK).mapInArrow(run, schema)
